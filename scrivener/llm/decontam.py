@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.llm.common import LEAST_ID, id_of, text_of
+from scrivener.llm.hashing import Powers, mix, word_hashes
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Characters of benchmark text in one pass.
@@ -33,53 +34,12 @@ BLOCK = 8_000_000
 #: Bytes of documents that numpy handles at once; a longer document is handled alone.
 CHUNK = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-_SYMBOL = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-
-
-class Powers:
-    """Powers of _BASE and of its inverse modulo 2^64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK + 1)
-            run = lambda b: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size - 1, b, np.uint64))])
-            self.up, self.down = run(np.uint64(_BASE)), run(np.uint64(pow(_BASE, -1, 1 << 64)))
-        return self.up[:n], self.down[:n]
-
-
-def word_hashes(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of every word of data."""
-    b = np.frombuffer(data, np.uint8)
-    space = np.ones(len(b) + 2, np.int8)
-    space[1:-1] = _SPACE[b]
-    turn = np.diff(space)
-    starts, ends = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
-    up, down = powers.of(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_SYMBOL[b] * up[:-1], out=total[1:])
-    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
-        out = _mix(out * np.uint64(0x2545F4914F6CDD1D) + words[k : len(words) - n + 1 + k])
+        out = mix(out * np.uint64(0x2545F4914F6CDD1D) + words[k : len(words) - n + 1 + k])
     return out
 
 
