@@ -199,7 +199,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFram
 def without_repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes): a row for each row of docs."""
     i, k, t = keyed(docs, doc_id, text)
-    own = docs.select(i, k, t.cast("binary").alias("_text"))
+    # a place is (_id, _key, start); where ids are unique the key says nothing, and a constant shuffles at no cost
+    unique = docs.select(i).groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    own = docs.select(i, F.lit(0).cast("bigint").alias("_key") if unique else k, t.cast("binary").alias("_text"))
     ranges = repeats(own, length, head)
     joined = own.mapInArrow(_zipped, "_id bigint, _key bigint, z binary").join(ranges, ["_id", "_key"], "left").select("_id", "z", "ranges")
     return joined.mapInArrow(_cut(length), "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
