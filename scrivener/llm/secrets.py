@@ -38,11 +38,14 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 
 
 def _found(kind: str) -> Column:
-    """(gap before, match, value) of the leftmost non-overlapping matches, in order."""
+    """(gap before, match, value) of the leftmost non-overlapping matches, in order.
+
+    Every match begins where the one before ended, and the last takes the rest of the text, so a text is read once.
+    """
     pattern, _, sure = KINDS[kind]
-    at = lambda g: F.regexp_extract_all(F.col("_text"), F.lit(f"(?s)(.*?)({pattern})"), F.lit(g))
+    at = lambda g: F.regexp_extract_all(F.col("_text"), F.lit(rf"(?s)\G(.*?)({pattern}|\z)"), F.lit(g))
     parts = F.arrays_zip(at(1).alias("gap"), at(2).alias("all"), at(3).alias("value"))
-    one = F.transform(parts, lambda x: F.struct(F.lit(RANK[kind]).alias("kind"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("len"), x["value"].alias("value")))
+    one = F.transform(F.filter(parts, lambda x: x["value"] != ""), lambda x: F.struct(F.lit(RANK[kind]).alias("kind"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("len"), x["value"].alias("value")))
     return F.when(F.col("_text").rlike(sure), one)
 
 
