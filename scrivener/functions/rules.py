@@ -15,8 +15,12 @@ def trim_end(d, c):
     return d.sub(c, f"{_B}+\\z")
 
 
+#: A column of this name is trimmed already; rules that trim then use it as it is.
+TRIMMED = "trimmed"
+
+
 def trim(d, c):
-    return d.sub(c, f"\\A{_B}+|{_B}+\\z")
+    return c if c == TRIMMED else d.sub(c, f"\\A{_B}+|{_B}+\\z")
 
 
 def _last(d, c, n=1):

@@ -29,7 +29,13 @@ WHEN n % 83 = 0 THEN concat(left(raw, 4), left(raw, 4), left(raw, 4)) WHEN n % 8
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """One small file has few row groups, so most tasks get nothing: it is dealt out. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores and len(df.inputFiles()) == 1 else df
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +64,7 @@ LINE_RULES = {
     "ends_colon": r.ends_colon, "ends_paren": r.ends_postfix_closer, "ends_ellipsis": r.ends_ellipsis, "has_comma": r.any_comma, "dialog_opener_lines": r.dialog_opener, "divider_lines": r.divider,
     "unclosed_bracket": r.unclosed_bracket, "unclosed_quote": r.unclosed_quote, "bracket_balance": lambda d, c: r.bracket_balanced(d, c, "'（'"), "sentence_boundary": r.sentence_boundary,
     "bracket_boundary": r.bracket_boundary, "chapter_ending": r.chapter_end, "page_marker": r.page_marker, "title_heading": r.title_heading, "heading_like": r.heading_like, "metadata_line": r.metadata_line,
-    "custom_heading": lambda d, c: f"({r.title_heading(d, c)} OR {d.has(c, '^[天地].{0,3}[。！]')})", "blank_guard": r.blank, "strong_end": lambda d, c: d.has(c, f"[{r.k.STRONG_END}]\\z"),
+    "custom_heading": lambda d, c: f"({r.title_heading(d, c)} OR {d.has(c, '\\A[天地].{0,3}[。！]')})", "blank_guard": r.blank, "strong_end": lambda d, c: d.has(c, f"[{r.k.STRONG_END}]\\z"),
     "digit_lines": lambda d, c: d.has(c, "[0-9０-９]"), "clause_end": lambda d, c: d.has(c, f"[{inside(r.k.CLAUSE_OR_END)}]\\z"),
 }
 #: name: rule over raw giving text
@@ -68,14 +74,19 @@ LINE_TEXTS = {
 #: name: rule over documents' text giving text
 DOC_TEXTS = {"newline_normalize": r.newlines, "compress_newlines": r.compress_newlines, "page_normalize": r.page_text, "page_decode": r.decoded_page}
 
+TRIMMING = (r.title_heading, r.heading_like, r.metadata_line, r.bracket_boundary, r.chapter_end)
+
 ENTRY_NAMES = ["word/document.xml", "xl/sharedStrings.xml", "xl/worksheets/sheet1.xml", "ppt/slides/slide1.xml", "ppt/slides/_rels/s.xml.rels", "ppt/notesSlides/n.xml", "content.xml", "OEBPS/a.XHTML", "toc.ncx", "mimetype", "../x", "/abs", "a\\b.xml", "a/../b", "a..b/c.html"]
 FONT_CASES = [("docx", '<w:rFonts w:ascii="Song" w:cs="Arial"/>'), ("xlsx", '<name val="Calibri"/>'), ("pptx", '<a:latin typeface="Arial"/>'), ("odt", '<s style:font-name="Song" style:name="P1"/>'), ("epub", "p{font-family: Song; color:red}"), ("txt", "plain")]
 
 
 def _count_rule(rule):
     def run(spark, d):
-        e = F.expr(rule(SPARK, "raw"))
-        return lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(e).alias("n_true"), F.coalesce(F.sum(F.when(e, F.col("n"))), F.lit(0)).cast("bigint").alias("places"))
+        base, c = lines(spark, d), "raw"
+        if rule in TRIMMING:  # once a line, not once a use
+            base, c = base.withColumn(r.TRIMMED, F.expr(r.trim(SPARK, "raw"))), r.TRIMMED
+        said = base.select("doc_id", "n", F.expr(rule(SPARK, c)).alias("e"))
+        return said.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("e").alias("n_true"), F.coalesce(F.sum(F.when(F.col("e"), F.col("n"))), F.lit(0)).cast("bigint").alias("places"))
 
     return run, f"SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE {rule(DUCK, 'raw')}) AS BIGINT) AS n_true, CAST(coalesce(sum(n) FILTER (WHERE {rule(DUCK, 'raw')}), 0) AS BIGINT) AS places FROM {LINES_SQL} GROUP BY doc_id"
 
