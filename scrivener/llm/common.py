@@ -66,6 +66,12 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[C
     return [F.coalesce(id_of(docs, doc_id), F.lit(LEAST_ID)).alias("_id"), F.xxhash64(t).alias("_key"), t.alias("_text")]
 
 
+def packed(docs: DataFrame, *without: str) -> Column:
+    """All columns but those in one struct _row, so that their names can't meet those of an operator."""
+    kept = [c for c in docs.columns if c not in without]
+    return (F.struct(*(docs[f"`{c}`"] for c in kept)) if kept else F.lit(None)).alias("_row")
+
+
 def real_id(column: str = "_id") -> Column:
     """Undoes the stand-in for a null id."""
     return F.when(F.col(column) != F.lit(LEAST_ID), F.col(column))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import LEAST_ID, id_of, text_of
+from scrivener.llm.common import LEAST_ID, id_of, packed, text_of
 from scrivener.llm.hashing import Powers, mix, word_hashes
 
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -108,7 +108,7 @@ def _search(index: Index):
     def run(batches):
         powers = Powers()
         for b in batches:
-            ids, out = b.column(0), ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             texts = b.column(1).cast(pa.binary())
             group, rows, size = [], [], 0
 
@@ -131,7 +131,7 @@ def _search(index: Index):
                 size += len(t) + 1
             if group:
                 flush()
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:])], ["doc_id", "item_id", "n_shingles", "n_found"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(out[0], pa.int64())) for k in (0, 2)), *(pa.array(x, pa.int64()) for x in out[1:])], ["doc_id", "_key", "item_id", "n_shingles", "n_found"])
 
     return run
 
@@ -148,21 +148,26 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block: int):
         yield rows
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_found) of the items that documents contain."""
-    schema = "doc_id bigint, item_id bigint, n_shingles bigint, n_found bigint"
-    source = docs.select(id_of(docs, doc_id).alias("doc_id"), text_of(docs, text).alias("t"))
+def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, item_id: str, text: str, block: int) -> DataFrame:
+    schema = "doc_id bigint, _key bigint, item_id bigint, n_shingles bigint, n_found bigint"
+    t = text_of(docs, text)
+    source = docs.select(id_of(docs, doc_id).alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("_key"))
     found = docs.sparkSession.createDataFrame([], schema)
     for rows in _blocks(benchmark, item_id, text, block):
         found = found.union(source.mapInArrow(_search(Index(rows)), schema))
     return found
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_found) of the items that documents contain."""
+    return _found(docs, benchmark, doc_id, item_id, text, block).drop("_key")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that contain a benchmark item."""
-    bad = contained_items(docs, benchmark).select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_bad")).distinct()
-    own = docs.withColumn("_own", F.coalesce(id_of(docs), F.lit(LEAST_ID)))
-    return own.join(bad, own["_own"] == bad["_bad"], "left_anti").select(*docs.columns)
+    bad = _found(docs, benchmark, doc_id, "item_id", "text", BLOCK).select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_bi"), F.col("_key").alias("_bk")).distinct()
+    rows = docs.select(packed(docs), F.coalesce(id_of(docs, doc_id), F.lit(LEAST_ID)).alias("_id"), F.xxhash64(text_of(docs, text)).alias("_key"))
+    return rows.join(bad, (F.col("_id") == F.col("_bi")) & (F.col("_key") == F.col("_bk")), "left_anti").select("_row.*")
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import LEAST_ID, WORD, id_of, text_of
+from scrivener.llm.common import WORD, keyed, packed
 
 #: Lines of a run, which is also the winnowing window: every run that long is found.
 RUN = 2
@@ -64,31 +64,33 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs plus `_lines` and `_gone` (counts), `_kept_text`."""
-    keyed = docs.withColumns({"_id": F.coalesce(id_of(docs, doc_id), F.lit(LEAST_ID)), "_text": text_of(docs, text)}).withColumn("_key", F.xxhash64("_text"))
-    gone = repeated_lines(keyed, run).select(F.col("_id").alias("_gi"), F.col("_key").alias("_gk"), "gone")
-    joined = keyed.join(gone, (F.col("_id") == F.col("_gi")) & (F.col("_key") == F.col("_gk")), "left")
-    worded = _lines(F.col("_text"))
-    out = F.transform("gone", lambda p: F.get(F.col("_ls"), p)["i"])
-    cut = joined.withColumn("_ls", worded).withColumn("_out", F.coalesce(out, F.array().cast("array<int>")))
-    lines = F.split("_text", "\n")
-    kept = F.when(F.size("_out") == 0, F.col("_text")).otherwise(
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_out")), lambda i: F.get(F.col("_all"), i)), "\n")
-    )
-    return cut.withColumn("_all", lines).withColumns({"_kept_text": kept, "_lines": F.size("_ls").cast("bigint"), "_gone": F.size("_out").cast("bigint")}).drop("_id", "_key", "_text", "_gi", "_gk", "gone", "_ls", "_out", "_all")
+    """_row (struct of the columns but text), _null (text was null), _text, _kept_text, _lines and _gone (counts)."""
+    rows = docs.select(packed(docs, text), docs[text].isNull().alias("_null"), *keyed(docs, doc_id, text))
+    gone = repeated_lines(rows, run).select(F.col("_id").alias("_gi"), F.col("_key").alias("_gk"), "gone")
+    joined = rows.join(gone, (F.col("_id") == F.col("_gi")) & (F.col("_key") == F.col("_gk")), "left")
+    out = F.coalesce(F.transform("gone", lambda p: F.get(F.col("_ls"), p)["i"]), F.array().cast("array<int>"))
+    cut = joined.withColumn("_ls", _lines(F.col("_text"))).withColumns({"_out": out, "_all": F.split("_text", "\n")})
+    rest = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_out"))
+    kept = F.when(F.size("_out") == 0, F.col("_text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(F.col("_all"), i)), "\n"))
+    return cut.select("_row", "_null", "_text", kept.alias("_kept_text"), F.size("_ls").cast("bigint").alias("_lines"), F.size("_out").cast("bigint").alias("_gone"))
 
 
 def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with later repeated runs deleted from text (n_chars follows, where there is one)."""
-    done = line_dedup(docs, run)
-    out = {"text": F.when(F.col("_gone") == 0, F.col("text")).otherwise(F.col("_kept_text"))}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_gone") == 0, F.col("n_chars")).otherwise(F.length("_kept_text").cast(docs.schema["n_chars"].dataType))
-    return done.withColumns(out).select(*docs.columns)
+
+    def column(c: str) -> Column:
+        own = F.col("_row")[c] if c != "text" else F.when(~F.col("_null"), F.col("_text"))
+        if c == "text":
+            return F.when(F.col("_gone") == 0, own).otherwise(F.col("_kept_text")).alias(c)
+        if c == "n_chars":
+            return F.when(F.col("_gone") == 0, own).otherwise(F.length("_kept_text").cast(docs.schema[c].dataType)).alias(c)
+        return own.alias(c)
+
+    return line_dedup(docs, run).select(*(column(c) for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return line_dedup(docs.select("doc_id", "text")).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return line_dedup(docs.select("doc_id", "text")).select("_row.doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = rf"""

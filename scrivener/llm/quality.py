@@ -16,7 +16,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import WORD, text_of
+from scrivener.llm.common import WORD, packed, text_of
 
 #: Rows on which costs and selectivities are estimated. It orders the rules only.
 SAMPLE_ROWS = 1000
@@ -83,73 +83,67 @@ def _repeats(w: Column, b: Column) -> Column:
     return F.element_at(F.transform(F.array(_codes(w, b)), from_codes), 1)
 
 
-def measured(docs: DataFrame, needed: set[str] | None = None, text: str = "text") -> DataFrame:
-    """docs with its measures in a struct `_m`; only those that are needed."""
-    need = needed or {m for ms, _ in RULES.values() for m in ms}
-    t = text_of(docs, text)
-    df = docs.withColumn("_t", t)
-    if need & {"n_words", "word_chars", "n_repeat_words"}:
-        df = df.withColumn("_w", _words(F.col("_t")))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD))
-    if need & {"n_lines", "n_dup_lines"}:
-        df = df.withColumn("_l", lines)
-    exprs = {
-        "n_words": lambda: F.size("_w"),
-        "word_chars": lambda: F.length(F.array_join("_w", "")),
-        "n_symbols": lambda: F.regexp_count("_t", F.lit("[#*$%&|<>]")),
-        "n_lines": lambda: F.size("_l"),
-        "n_dup_lines": lambda: F.size("_l") - F.size(F.array_distinct("_l")),
-        "n_repeat_words": lambda: repeated_words(F.col("_w")),
-        "n_capitals": lambda: F.regexp_count("_t", F.lit("[A-Z]")),
-    }
-    df = df.withColumn("_m", F.struct(*(f().cast("bigint").alias(m) for m, f in exprs.items() if m in need)))
-    return df.drop("_t", "_w", "_l")
+_WORDS, _LINES = {"n_words", "word_chars", "n_repeat_words"}, {"n_lines", "n_dup_lines"}
+_MEASURES = {
+    "n_words": lambda: F.size("_w"),
+    "word_chars": lambda: F.length(F.array_join("_w", "")),
+    "n_symbols": lambda: F.regexp_count("_t", F.lit("[#*$%&|<>]")),
+    "n_lines": lambda: F.size("_l"),
+    "n_dup_lines": lambda: F.size("_l") - F.size(F.array_distinct("_l")),
+    "n_repeat_words": lambda: repeated_words(F.col("_w")),
+    "n_capitals": lambda: F.regexp_count("_t", F.lit("[A-Z]")),
+}
+
+
+def measured(rows: DataFrame, needed) -> DataFrame:
+    """rows (with the text as _t) plus those of the needed measures that it lacks."""
+    need = [m for m in _MEASURES if m in needed and m not in rows.columns]
+    if _WORDS & set(need) and "_w" not in rows.columns:
+        rows = rows.withColumn("_w", _words(F.col("_t")))
+    if _LINES & set(need) and "_l" not in rows.columns:
+        rows = rows.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)))
+    return rows.withColumns({m: _MEASURES[m]().cast("bigint") for m in need})
 
 
 def rule_order(docs: DataFrame, text: str = "text") -> list[str]:
     """Rules by rejections per second on a sample, most first."""
-    sample = docs.select(text_of(docs, text).alias("text")).limit(SAMPLE_ROWS)
-    rows = [(r["text"],) for r in sample.toLocalIterator()]
+    rows = [(r["_t"],) for r in docs.select(text_of(docs, text).alias("_t")).limit(SAMPLE_ROWS).toLocalIterator()]
     if not rows:
         return list(RULES)
-    spark = docs.sparkSession
-    held = spark.createDataFrame(rows, "text string").repartition(1)
+    held = docs.sparkSession.createDataFrame(rows, "_t string").repartition(1)
     rates = {}
     for rule, (measures, kept) in RULES.items():
-        probe = measured(held, set(measures)).select("_m.*").agg(F.sum(F.expr(f"int(NOT ({kept}))")).alias("bad"))
+        probe = measured(held, measures).agg(F.sum(F.expr(f"int(NOT ({kept}))")).alias("bad"))
         began = time.perf_counter()
         bad = probe.first()["bad"] or 0
         rates[rule] = bad / max(time.perf_counter() - began, 1e-6)
     return sorted(RULES, key=lambda r: -rates[r])
 
 
-def verdict(order: list[str], at: str = "_m") -> Column:
-    """The cascade: the first rule that rejects ends it."""
-    chain: Column | None = None
-    for rule in order:
-        kept = RULES[rule][1]
-        for m in sorted(RULES[rule][0], key=len, reverse=True):
-            kept = kept.replace(f"{m} ", f"{at}.{m} ").replace(f"* {m}", f"* {at}.{m}")
-        failed = ~F.expr(kept)
-        chain = F.when(failed, F.lit(False)) if chain is None else chain.when(failed, F.lit(False))
-    return chain.otherwise(F.lit(True))
-
-
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus `_m` (measures), `_base_failed` and `_kept`."""
-    df = measured(docs, None, text)
-    base = F.expr("_m.n_words < 50 OR 100 * _m.n_repeat_words > 50 * _m.n_words")
-    return df.withColumns({"_base_failed": base, "_kept": verdict(rule_order(docs, text))})
+    """_row (struct of docs' columns but text), every measure, _base_failed and _kept: the first rule that rejects ends the cascade."""
+    rows = measured(docs.select(packed(docs, text), text_of(docs, text).alias("_t")), _MEASURES)
+    chain = F.when(F.lit(False), F.lit(False))
+    for rule in rule_order(docs, text):
+        chain = chain.when(~F.expr(RULES[rule][1]), F.lit(False))
+    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    return rows.select("_row", *_MEASURES, base.alias("_base_failed"), chain.otherwise(F.lit(True)).alias("_kept"))
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return quality_rules(docs, text).filter("_kept").select(*docs.columns)
+    """The documents that pass, with the columns they came with. A rule's measures are taken of the rows that the rules
+    before it let pass; a generator stands for each filter, as Spark would move filters down and take measures twice."""
+    rows = docs.select(packed(docs), text_of(docs, text).alias("_t"))
+    for rule in rule_order(docs, text):
+        measures, kept = RULES[rule]
+        rows = measured(rows, measures)
+        rows = rows.select(*rows.columns, F.explode(F.when(F.expr(kept), F.array(F.lit(True)))).alias("_pass")).drop("_pass")
+    return rows.select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return quality_rules(docs.select("doc_id", "text")).select("doc_id", *(F.col(f"_m.{m}").alias(m) for m in names), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return quality_rules(docs.select("doc_id", "text")).select("_row.doc_id", *names, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 ORACLE = r"""

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import id_of, text_of, written
+from scrivener.llm.common import id_of, packed, text_of, written
 from scrivener.llm.components import components
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
@@ -49,12 +49,13 @@ def _fingerprints(batches):
     for b in batches:
         texts = b.column(1).cast(pa.binary())
         out = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out.view(np.int64))], ["_id", "_key", "fp"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, fp), a row for each row of docs."""
-    return docs.select(F.coalesce(id_of(docs, doc_id), F.lit(MOST_ID)).alias("_id"), text_of(docs, text).alias("t")).mapInArrow(_fingerprints, "_id bigint, fp bigint")
+    """(_id, _key, fp), a row for each row of docs; _key is a hash of the text."""
+    t = text_of(docs, text)
+    return docs.select(F.coalesce(id_of(docs, doc_id), F.lit(MOST_ID)).alias("_id"), t.alias("t"), F.xxhash64(t).alias("_key")).mapInArrow(_fingerprints, "_id bigint, _key bigint, fp bigint")
 
 
 def trie_pairs(values: np.ndarray, budget: int = BUDGET):
@@ -143,14 +144,14 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, fp, component): a row for each row of docs; component is the least id that links reach."""
+    """(_id, _key, fp, label, component): a row for each row of docs; component is the least id that links reach."""
     fps = written(fingerprints(docs, doc_id, text), "fingerprints")
     first = written(fps.groupBy("fp").agg(F.min("_id").alias("id")), "distinct")
     labels = components(links(first.select("fp")))
     joined = first.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
     least = joined.groupBy("label").agg(F.min("id").alias("component"))
-    per = joined.join(least, "label").select(F.col("fp").alias("f"), "component")
-    return fps.join(per, F.col("fp") == F.col("f")).select("_id", "fp", "component")
+    per = joined.join(least, "label").select(F.col("fp").alias("f"), "label", "component")
+    return fps.join(per, F.col("fp") == F.col("f")).select("_id", "_key", "fp", "label", "component")
 
 
 def _real(c: str):
@@ -158,11 +159,11 @@ def _real(c: str):
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the near copies: of each group the document of least id stays (of repeated rows of that id, one)."""
-    groups = near_groups(docs, doc_id, text).filter("_id = component").select("_id").distinct()
-    own = docs.withColumn("_own", F.coalesce(id_of(docs, doc_id), F.lit(MOST_ID)))
-    kept = own.join(groups, own["_own"] == groups["_id"], "left_semi")
-    return kept.dropDuplicates(["_own"]).select(*docs.columns)
+    """docs without the near copies: of each group the row of least (id, text hash) stays, once where it is repeated."""
+    first = near_groups(docs, doc_id, text).groupBy("label").agg(F.min(F.struct("_id", "_key")).alias("f")).select(F.col("f._id").alias("_fi"), F.col("f._key").alias("_fk"))
+    rows = docs.select(packed(docs), F.coalesce(id_of(docs, doc_id), F.lit(MOST_ID)).alias("_id"), F.xxhash64(text_of(docs, text)).alias("_key"))
+    kept = rows.join(first, (F.col("_id") == F.col("_fi")) & (F.col("_key") == F.col("_fk")), "left_semi")
+    return kept.groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
