@@ -186,12 +186,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFram
     first.drop()
     open_.drop()
     _clean(docs)
-    firsts = starts.df.groupBy("name").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("name", "f")
-    single = starts.df.join(firsts, "name").filter(place > F.col("f")).select("_id", "_key", "lo", F.lit(0).alias("more"))
+    firsts = Written(starts.df.groupBy("name").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("name", "f"), "firsts")
+    _clean(docs)
+    single = starts.df.join(firsts.df, "name").filter(place > F.col("f")).select("_id", "_key", "lo", F.lit(0).alias("more"))
     found = whole.df.union(single).groupBy("_id", "_key").agg(F.collect_list(F.struct("lo", "more")).alias("ranges"))
     done = Written(found, "repeats")
     whole.drop()
     starts.drop()
+    firsts.drop()
     _clean(docs)
     return done.df
 
