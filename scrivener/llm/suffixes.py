@@ -36,6 +36,8 @@ from scrivener.llm.common import Written, keyed, real_id
 from scrivener.llm.hashing import Hashed, Powers, mix
 
 LENGTH, HEAD = 100, 51
+#: Rows that a kernel holds before it passes them on.
+ROWS = 100_000
 ANCHOR = "head bigint, name bigint, _id bigint, _key bigint, lo int, more smallint"
 
 
@@ -90,12 +92,16 @@ def _anchors(length: int, head: int):
     def run(batches):
         powers = Powers()
         for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in names]
+            cols, held = [[] for _ in names], 0
             for i, k, t in _long(b, length):
                 h, name, lo, more = anchors(Hashed(t, powers), length, head)
                 for c, x in zip(cols, (h.view(np.int64), name.view(np.int64), np.full(len(lo), i), np.full(len(lo), k), lo.astype(np.int32), more.astype(np.int16)), strict=True):
                     c.append(x)
-            if cols[0]:
+                held += len(lo)
+                if held >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
+                    cols, held = [[] for _ in names], 0
+            if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
 
     return run
@@ -118,7 +124,7 @@ def _starts(length: int):
     def run(batches):
         powers = Powers()
         for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+            cols, held = [[] for _ in range(4)], 0
             for i, k, z, ranges in zip(*(b.column(j) for j in range(4)), strict=True):
                 hashed = Hashed(_unzip(z.as_py()), powers)
                 lo, more = (ranges.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in (0, 1))
@@ -126,7 +132,11 @@ def _starts(length: int):
                 g = hashed.at(p, p + length)
                 for c, x in zip(cols, (g.view(np.int64), np.full(len(p), i.as_py()), np.full(len(p), k.as_py()), p.astype(np.int32)), strict=True):
                     c.append(x)
-            if cols[0]:
+                held += len(p)
+                if held >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["name", "_id", "_key", "lo"])
+                    cols, held = [[] for _ in range(4)], 0
+            if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["name", "_id", "_key", "lo"])
 
     return run
