@@ -1,8 +1,9 @@
-"""The three jobs (convert, office, pdf) and their command line: python -m scrivener.plans.jobs"""
+"""The jobs (convert, office, pdf, and reflow of text files) and their command line: python -m scrivener.plans.jobs"""
 
 from __future__ import annotations
 
 import argparse
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,18 @@ def convert_job(files: DataFrame, dictionary: DataFrame, config: str, in_charset
     return sinks.text_rows(convert(texts, dictionary, config, "path"))
 
 
-def office_job(files: DataFrame, dictionary: DataFrame, config: str, fmt: str | None = None, keep_font: bool = False) -> DataFrame:
-    """A given format is taken as it is, lower-cased; else it comes from the extension, and other files are an error."""
-    found = F.lit(fmt.lower()) if fmt else F.coalesce(F.expr(rules.archive_format(SPARK, "path")), F.raise_error(F.concat(F.lit("no format: "), F.col("path"))).cast("string"))
-    done = convert_archives(files.withColumn("format", found), dictionary, config, keep_font)
+def office_job(files: DataFrame, dictionary: DataFrame, config: str, fmt: str | None = None, keep_font: bool = False, auto_ext: bool = False) -> DataFrame:
+    """A given format is taken as it is, lower-cased; else it comes from the extension, and other files are an error.
+    With auto_ext the stem of the output's name is converted too."""
     ext = F.lit(fmt.lower()) if fmt else F.expr(rules.archive_format(SPARK, "path"))
-    return done.withColumn("_ext", ext).withColumn("output", F.expr(rules.archive_output(SPARK, "path", "_ext"))).drop("_ext")
+    found = ext if fmt else F.coalesce(ext, F.raise_error(F.concat(F.lit("no format: "), F.col("path"))).cast("string"))
+    done = convert_archives(files.withColumn("format", found), dictionary, config, keep_font).withColumn("_ext", ext).withColumn("output", F.expr(rules.archive_output(SPARK, "path", "_ext"))).drop("_ext")
+    if not auto_ext:
+        return done
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?\z", 1)
+    named = convert(done.select(F.struct("*").alias("_row"), stem.alias("text")), dictionary, config, "_row")
+    output = F.concat(F.regexp_extract("_row.output", r"\A(.*/)?", 0), F.col("text"), F.regexp_extract("_row.output", r"_converted\.[^./]*\z", 0))
+    return named.select("_row.*", output.alias("_named")).withColumn("output", F.col("_named")).drop("_named")
 
 
 def pdf_job(files: DataFrame, backend: readers.Backend, dictionary: DataFrame | None = None, config: str | None = None, reflowed: bool = True, compact: bool = False, page_header: bool = False) -> DataFrame:
@@ -38,31 +45,62 @@ def pdf_job(files: DataFrame, backend: readers.Backend, dictionary: DataFrame |
     return sinks.text_rows(texts, extracted=not config)
 
 
+def placed(df: DataFrame, output: str | None, auto_ext: bool = False) -> DataFrame:
+    """Outputs beside the inputs, in a given folder (ending in /), or, for a single input, in a given file; with auto_ext
+    a file without extension gets that of the default name."""
+    if not output:
+        return df
+    name = F.regexp_extract("output", r"[^/]*\z", 0)
+    if output.endswith("/"):
+        return df.withColumn("output", F.concat(F.lit(output), name))
+    if len(df.select("path").limit(2).collect()) > 1:
+        raise ValueError(f"{output} is one file, but there are several inputs; end it in / for a folder")
+    bare = auto_ext and "." not in output.rsplit("/", 1)[-1]
+    return df.withColumn("output", F.concat(F.lit(output), F.regexp_extract("output", r"\.[^./]*\z", 0)) if bare else F.lit(output))
+
+
+def backend_of(name: str) -> readers.Backend:
+    """module:function"""
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="scrivener")
-    p.add_argument("job", choices=["convert", "office", "reflow"])
+    p.add_argument("job", choices=["convert", "office", "pdf", "reflow"])
     p.add_argument("-i", "--input", required=True)
+    p.add_argument("-o", "--output", help="a folder, ending in /, or a file for a single input; else beside the inputs")
     p.add_argument("-c", "--config")
     p.add_argument("-d", "--dictionary", help="parquet of config, src, dst")
     p.add_argument("-f", "--format")
     p.add_argument("--in-enc", default="UTF-8")
     p.add_argument("--out-enc", default="UTF-8")
     p.add_argument("--keep-font", action="store_true")
+    p.add_argument("--auto-ext", action="store_true", help="convert names of archives too, add missing extensions")
+    p.add_argument("-r", "--reflow", action="store_true", help="reflow the text of PDF files")
+    p.add_argument("-e", "--extract", action="store_true", help="no conversion of PDF files")
+    p.add_argument("--backend", help="module:function that reads PDF files")
     p.add_argument("--compact", action="store_true")
     p.add_argument("-H", "--page-header", action="store_true")
     a = p.parse_args(argv)
+    plain = a.job == "reflow" or (a.job == "pdf" and a.extract)
+    if not plain and not (a.dictionary and a.config):
+        p.error("this job needs --config and --dictionary")
+    if a.job == "pdf" and not a.backend:
+        p.error("pdf needs --backend")
     spark = SparkSession.builder.getOrCreate()
     files = readers.read_files(spark, a.input)
-    words = spark.read.parquet(a.dictionary) if a.dictionary else None
-    if a.job == "reflow":
-        texts = reflow(readers.decode(files, a.in_enc), "path", "text", a.page_header, a.compact)
-        sinks.write_texts(sinks.text_rows(texts), a.out_enc)
-    elif words is None or not a.config:
-        p.error("this job needs --config and --dictionary")
-    elif a.job == "convert":
-        sinks.write_texts(convert_job(files, words, a.config, a.in_enc, a.out_enc), a.out_enc)
+    words = None if plain else spark.read.parquet(a.dictionary)
+    if a.job == "office":
+        sinks.write_archives(placed(office_job(files, words, a.config, a.format, a.keep_font, a.auto_ext), a.output, a.auto_ext))
+        return
+    if a.job == "pdf":
+        made = pdf_job(files, backend_of(a.backend), words, None if plain else a.config, a.reflow, a.compact, a.page_header)
+    elif a.job == "reflow":
+        made = sinks.text_rows(reflow(readers.decode(files, a.in_enc), "path", "text", a.page_header, a.compact))
     else:
-        sinks.write_archives(office_job(files, words, a.config, a.format, a.keep_font))
+        made = convert_job(files, words, a.config, a.in_enc, a.out_enc)
+    sinks.write_texts(placed(made, a.output), "UTF-8" if a.job == "pdf" else a.out_enc)
 
 
 if __name__ == "__main__":

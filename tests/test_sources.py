@@ -83,6 +83,34 @@ def test_office_job(spark):
     assert got == {"a.docx": (True, 1, "a_converted.docx"), "b.docx": (False, 0, "b_converted.docx")}
 
 
+def test_command_line(tmp_path, spark, monkeypatch):
+    (tmp_path / "pdf_of_tests.py").write_text("def read(content):\n    for p in content.decode().split('|'):\n        yield 'ok', p\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    import pdf_of_tests
+
+    cloudpickle.register_pickle_by_value(pdf_of_tests)
+    spark.createDataFrame(WORDS[:2], "config string, src string, dst string").write.parquet(str(tmp_path / "words"))
+    common = ["-c", "s2t", "-d", str(tmp_path / "words")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "汉a.docx").write_bytes(zipped(word__document="x", **{"word__document.xml": "<w>汉</w>"}))
+    (tmp_path / "in" / "b.pdf").write_text("他的话还没有能够说完|就完了汉。")
+    (tmp_path / "in" / "c.pdf").write_text("汉")
+    jobs.main(["office", "-i", str(tmp_path / "in" / "*.docx"), "-o", f"{tmp_path}/out/", "--auto-ext", *common])
+    jobs.main(["office", "-i", str(tmp_path / "in" / "*.docx"), "-o", f"{tmp_path}/one", "--auto-ext", *common])
+    for name in ("out/漢a_converted.docx", "one.docx"):
+        with zipfile.ZipFile(tmp_path / name) as z:
+            assert z.read("word/document.xml").decode() == "<w>漢</w>"
+    pdf = ["pdf", "-i", str(tmp_path / "in" / "*.pdf"), "--backend", "pdf_of_tests:read"]
+    jobs.main([*pdf, "-o", f"{tmp_path}/out/", "-r", *common])
+    jobs.main([*pdf, "-e"])
+    assert (tmp_path / "out" / "b_converted.txt").read_text() == "他的话还没有能够说完就完了漢。"
+    assert (tmp_path / "in" / "c_extracted.txt").read_text() == "汉\n\n"
+    with pytest.raises(ValueError, match="several inputs"):
+        jobs.main([*pdf, "-e", "-o", f"{tmp_path}/one.txt"])
+    with pytest.raises(SystemExit):
+        jobs.main(["convert", "-i", "x"])
+
+
 def test_sinks(tmp_path, spark):
     target = tmp_path / "o" / "a.txt"
     sinks.replace_file(str(target), b"1")
