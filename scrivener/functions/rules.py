@@ -247,12 +247,25 @@ PHRASES = r"\A(.*?)(?<![^ ])([^ ]+(?: [^ ]+){0,7}?)(?: \2){2,}(?![^ ])(.*)\z"
 
 
 def segment_collapse(d, c):
-    """Spark only: white space becomes single spaces, the first phrase said three times stands once, then each token."""
+    """White space becomes single spaces, the first phrase said three times stands once, then each token."""
     one = d.sub(trim(d, c), f"{_B}+", " ")
+    if d.name == "duckdb":  # its patterns know no back-references
+        return _collapse_by_lists(d, one)
     phrases = f"regexp_replace({one}, {d.lit('(?s)' + PHRASES)}, {d.lit('$1$2$3')})"
     return f"array_join(transform(split({phrases}, ' '), t -> {token_collapse(d, 't')}), ' ')"
 
 
+def _collapse_by_lists(d, one):
+    """The words w as a list; f is the first place i, then least length n, of a phrase that two copies follow; r counts all copies."""
+    let = lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    copy = lambda at, k: f"w[{at}.i + ({k}) * {at}.n : {at}.i + ({k} + 1) * {at}.n - 1]"
+    places = "flatten(list_transform(range(1, len(w) - 1), lambda i: list_transform(range(1, least(8, (len(w) - i + 1) // 3) + 1), lambda n: {'i': i, 'n': n})))"
+    first = f"list_filter({places}, lambda p: {copy('p', 0)} = {copy('p', 1)} AND {copy('p', 0)} = {copy('p', 2)})[1]"
+    copies = f"list_filter(range(1, len(w) + 2), lambda j: {copy('f', 'j')} <> {copy('f', 0)})[1]"
+    words = let("f", first, f"CASE WHEN f IS NULL THEN w ELSE {let('r', copies, 'list_concat(w[1 : f.i + f.n - 1], w[f.i + r * f.n : len(w)])')} END")
+    return f"array_to_string(list_transform({let('w', f"string_split({one}, ' ')", words)}, lambda t: {token_collapse(d, 't')}), ' ')"
+
+
 # names of outputs
 def text_output(d, c, converted=True):
     suffix = "_converted.txt" if converted else "_extracted.txt"

@@ -69,7 +69,7 @@ LINE_RULES = {
 }
 #: name: rule over raw giving text
 LINE_TEXTS = {
-    "halfwidth_indent": r.without_indent, "without_last_char": r.without_last, "last_two_chars": lambda d, c: f"coalesce({r.last_two(d, c)}, '')", "trim_unicode": r.trim, "token_collapse": r.token_collapse,
+    "halfwidth_indent": r.without_indent, "without_last_char": r.without_last, "last_two_chars": lambda d, c: f"coalesce({r.last_two(d, c)}, '')", "trim_unicode": r.trim, "token_collapse": r.token_collapse, "segment_collapse": r.segment_collapse,
 }
 #: name: rule over documents' text giving text
 DOC_TEXTS = {"newline_normalize": r.newlines, "compress_newlines": r.compress_newlines, "page_normalize": r.page_text, "page_decode": r.decoded_page}
@@ -206,7 +206,6 @@ def registry() -> dict[str, tuple]:
     q["dict_convert_phrases"] = (lambda s, d: convert(cjk_documents(s, d), _dictionary(s, True), "s2t"), f"SELECT doc_id, replace(replace(translate({phrase}, '汉语这来个国时们书', '漢語這來個國時們書'), chr(1), '這回'), chr(2), '来箇') AS text FROM (SELECT doc_id, string_agg(raw, chr(10) ORDER BY n) AS text FROM {LINES_SQL} GROUP BY doc_id)")
     q["reflow_passthrough"] = (lambda s, d: reflow(_docs(s, d).filter(F.expr(latin(SPARK)))).select("doc_id", "text"), f"SELECT doc_id, text FROM documents WHERE {latin(DUCK)}")
     q["utf8_bom"] = (lambda s, d: _docs(s, d).select("doc_id", F.length(without_bom(F.concat(F.unhex(F.when(F.col("doc_id") % 2 == 0, "EFBBBF").otherwise("")), F.col("text").cast("binary")))).cast("bigint").alias("n")), "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents")
-    q["segment_collapse"] = (lambda s, d: lines(s, d).groupBy("doc_id").agg(F.sum(F.length(F.expr(r.segment_collapse(SPARK, "raw")))).alias("n_chars")), None)
     q["reflow_segments"] = (_segments, None)
     q["reflow_text"] = (lambda s, d: reflow(cjk_documents(s, d)), None)
     q["reflow_compact"] = (lambda s, d: reflow(cjk_documents(s, d), compact=True), None)
