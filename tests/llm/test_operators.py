@@ -93,8 +93,9 @@ def copies():
     return Counter((r[0], r[1] or "") for r in ROWS)
 
 
-@pytest.mark.parametrize("run", [2, 3])
-def test_line_dedup(spark, docs, run):
+@pytest.mark.parametrize(("run", "hot"), [(2, linededup.HOT), (3, linededup.HOT), (2, 0), (2, 1)])
+def test_line_dedup(spark, docs, run, hot, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", hot)
     seen, want, left = set(), [], copies()
     for doc_id, text in ordered(spark).values():
         lines = text.split("\n")
