@@ -2,13 +2,17 @@
 
 Every word is predicted from the SIDE words on both its sides: their embeddings (a table for each place) are summed,
 and a two-step softmax gives the class of the word and the word within its class. A document's score is the sum of
-the log-probabilities of its words. Ids are the WORDS most frequent words of the whole corpus and hash buckets for
-the others; words are lower-cased (A-Z).
+the log-probabilities of its words. The network's ids are the WORDS most frequent words of the whole corpus and hash
+buckets for the others; a word of a bucket adds log P(word | bucket), its share of the bucket's words in the whole
+corpus, so every word of the corpus has a probability of its own and those of all words sum to 1 at every place.
+Words are lower-cased (A-Z).
 
 What is gathered follows the corpus: word counts of all documents (summed before the shuffle), and training over all
 words of all documents. Each task trains its own copy of the network from the same start over its documents and
 returns its parameters with its number of words; they are averaged, weighted by words, in tasks that hold one sum at
-a time. Only the vocabulary and the averaged network, both of fixed size, come to the driver.
+a time. Shares of the words above a count that at most SHARED words reach are a table that every task holds; those
+of all others, as many as the corpus has, are joined by word. Only that table, a histogram of counts and the averaged
+network come to the driver.
 
 Defined results: null text counts as empty; a text without words has score 0 and a null mean; repeated rows give
 repeated results; null ids pass through; an empty table gives an empty table; other columns don't matter.
@@ -21,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import id_of, text_of, written
+from scrivener.llm.common import id_of, keyed, text_of, written
 from scrivener.llm.hashing import Powers, word_hashes
 
 WORDS, CLASSES, WIDTH, SIDE = 448, 16, 16, 2
 #: Ids in all: WORDS frequent words and buckets of others.
 IDS = 512
+#: Words of buckets whose shares every task holds (16 bytes each); the shares of the others are joined.
+SHARED = 1_000_000
 BATCH, RATE = 4096, 0.1
 #: Bytes of documents handled at once; a longer document is handled alone.
 CHUNK = 1_000_000
@@ -36,6 +42,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 class Vocabulary:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
         """hashes: most frequent first. Ids are dealt to classes so that classes are of like weight."""
+        self.held, self.logs = np.zeros(0, np.uint64), np.zeros(0)
         self.order = np.argsort(hashes, kind="stable")
         self.sorted, self.known = hashes[self.order], len(hashes)
         rest = max(total - int(counts.sum()), 1)
@@ -51,6 +58,20 @@ class Vocabulary:
             out[hit] = self.order[at[hit]]
         return out
 
+    def hold(self, words: np.ndarray, logs: np.ndarray) -> None:
+        """log P(word | bucket) of the words that every task holds."""
+        order = np.argsort(words)
+        self.held, self.logs = words[order], logs[order]
+
+    def shares(self, words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | id), 0 where it isn't held, and places of the words whose share is to be joined."""
+        out, rare = np.zeros(len(words)), np.flatnonzero(ids >= WORDS)
+        if len(self.held) and len(rare):
+            at = np.minimum(np.searchsorted(self.held, words[rare]), len(self.held) - 1)
+            hit = self.held[at] == words[rare]
+            out[rare[hit]], rare = self.logs[at[hit]], rare[~hit]
+        return out, rare
+
 
 def contexts(ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """(words, 2 * SIDE) ids around each word; IDS where the document has none."""
@@ -215,17 +236,66 @@ def _scored(vocabulary: Vocabulary, flat: np.ndarray):
                 around = contexts(ids, owner)
                 each = [net.log_probability(ids[k : k + BATCH], around[k : k + BATCH]) for k in range(0, len(ids), BATCH)]
                 n[i:j] = np.bincount(owner, minlength=j - i)
-                score[i:j] = np.bincount(owner, np.concatenate([np.zeros(0), *each]), j - i)
+                score[i:j] = np.bincount(owner, np.concatenate([np.zeros(0), *each]) + vocabulary.shares(words, ids)[0], j - i)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(score)], ["doc_id", "n_words", "log_likelihood"])
 
     return run
 
 
-def vocabulary_of(texts: DataFrame) -> Vocabulary:
+def _unheld(vocabulary: Vocabulary):
+    """(_id, _key, _r, word, n) of the words whose share is to be joined."""
+
+    def run(batches):
+        powers = Powers()
+        for b in batches:
+            texts = _texts(b, 3)
+            for i, j in _groups(texts):
+                words, owner = _words(texts[i:j], powers)
+                at = vocabulary.shares(words, vocabulary.ids(words))[1]
+                order = at[np.lexsort((words[at], owner[at]))]
+                w, o = words[order], owner[order]
+                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(w)), bool), (w[1:] != w[:-1]) | (o[1:] != o[:-1])]))
+                rows = pa.array(o[first] + i)
+                n = np.diff(np.append(first, len(w)))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in range(3)), pa.array(w[first].view(np.int64)), pa.array(n)], ["_id", "_key", "_r", "word", "n"])
+
+    return run
+
+
+def _gathered(texts: DataFrame) -> tuple[Vocabulary, DataFrame | None]:
+    """The vocabulary, and (w, share) of the words that it doesn't hold."""
     counts = written(texts.mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.float64), total)
+    hashes, most = np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.float64)
+    vocabulary = Vocabulary(hashes, most, total)
+    bucket = F.shiftrightunsigned("word", 20) % (IDS - WORDS)
+    sums = np.zeros(IDS)
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        sums[WORDS + r["bucket"]] = r["n"]
+    np.subtract.at(sums, WORDS + ((hashes >> np.uint64(20)) % np.uint64(IDS - WORDS)).astype(np.int64), most)
+    least, held, others = None, 0, False
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        if held + r["words"] > SHARED:
+            others = True
+            break
+        least, held = r["n"], held + r["words"]
+    if least is not None:
+        found = counts.filter(F.col("n") >= least).toArrow()
+        words, n = (found.column(k).to_numpy() for k in ("word", "n"))
+        words = words.astype(np.int64).view(np.uint64)
+        ids = vocabulary.ids(words)
+        rare = ids >= WORDS
+        vocabulary.hold(words[rare], np.log(n[rare] / sums[ids[rare]]))
+    if not others:
+        return vocabulary, None
+    share = F.log("n") - F.log(F.get(F.array(*(F.lit(float(x)) for x in sums[WORDS:])), bucket.cast("int")))
+    rest = counts if least is None else counts.filter(F.col("n") < least)
+    return vocabulary, rest.select(F.col("word").alias("w"), share.alias("share"))
+
+
+def vocabulary_of(texts: DataFrame) -> Vocabulary:
+    return _gathered(texts)[0]
 
 
 def network_of(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -243,9 +313,18 @@ def network_of(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, log_likelihood."""
     texts = docs.select(text_of(docs, text).alias("t"))
-    vocabulary = vocabulary_of(texts)
-    flat = network_of(texts, vocabulary)
-    return docs.select(id_of(docs, doc_id).alias("doc_id"), text_of(docs, text).alias("t")).mapInArrow(_scored(vocabulary, flat), "doc_id bigint, n_words bigint, log_likelihood double")
+    vocabulary, rest = _gathered(texts)
+    scored = _scored(vocabulary, network_of(texts, vocabulary))
+    if rest is None:
+        return docs.select(id_of(docs, doc_id).alias("doc_id"), text_of(docs, text).alias("t")).mapInArrow(scored, "doc_id bigint, n_words bigint, log_likelihood double")
+    rows = docs.select(id_of(docs, doc_id).alias("doc_id"), *keyed(docs, doc_id, text))
+    words = rows.select("_id", "_key", F.monotonically_increasing_id().alias("_r"), "_text").mapInArrow(_unheld(vocabulary), "_id bigint, _key bigint, _r bigint, word bigint, n bigint")
+    each = words.join(rest, F.col("word") == F.col("w")).groupBy("_id", "_key", "_r").agg(F.sum(F.col("n") * F.col("share")).alias("more"))
+    # repeated rows have equal sums
+    more = each.groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k")).agg(F.min("more").alias("more"))
+    own = rows.select(F.struct("doc_id", "_id", "_key").alias("x"), "_text").mapInArrow(scored, "x struct<doc_id: bigint, _id: bigint, _key: bigint>, n_words bigint, log_likelihood double")
+    joined = own.join(more, (F.col("x._id") == F.col("_i")) & (F.col("x._key") == F.col("_k")), "left")
+    return joined.select("x.doc_id", "n_words", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
 
 
 def query(docs: DataFrame) -> DataFrame:

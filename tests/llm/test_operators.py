@@ -296,6 +296,32 @@ def test_training_beats_counts(spark):
     assert score[0] > -np.log(20) + 1 > score[1] + 1
 
 
+@pytest.mark.parametrize("shared", [10**6, 600, 0])
+def test_lm_scores_every_word(spark, monkeypatch, shared):
+    monkeypatch.setattr(lmscore, "SHARED", shared)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(200))) for i in range(60)]
+    rows += [(60, " ".join(f"once{k}" for k in range(50))), rows[0], rows[0], (None, "w1 once0"), (61, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    v = lmscore.vocabulary_of(texts := df.selectExpr("coalesce(text, '') AS t"))
+    net = lmscore.Network(v.frequency).load(lmscore.network_of(texts, v))
+    hashed = lambda t: lmscore._words([(t or "").encode()], lmscore.Powers())[0]
+    counts = Counter(int(w) for _, t in rows for w in hashed(t))
+    bucket = {w: int(v.ids(np.array([w], np.uint64))[0]) for w in counts}
+    sums = Counter()
+    for w, n in counts.items():
+        sums[bucket[w]] += n
+    assert len(counts) > lmscore.WORDS
+    want = []
+    for i, t in rows:
+        ids = v.ids(words := hashed(t))
+        plain = net.log_probability(ids, lmscore.contexts(ids, np.zeros(len(ids)))).sum() if len(ids) else 0
+        want.append((i is None, i or 0, len(ids), plain + sum(np.log(counts[int(w)] / sums[bucket[int(w)]]) for w in words)))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["log_likelihood"]) for r in lmscore.scores(df).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=1e-2)
+
+
 def test_lm_query(docs):
     out = lmscore.query(docs).collect()
     assert len(out) == len(ROWS)
