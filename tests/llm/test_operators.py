@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from scrivener.llm import bpe, decontam, linededup, lmscore, packing, quality, secrets, simhash, suffixes, tokencount, toolcalls
+from scrivener.llm import bpe, decontam, linededup, lmscore, nearcopies, packing, quality, secrets, simhash, suffixes, tokencount, toolcalls
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _id int, _row string, n_words int, gone string"
 RNG = random.Random(11)
@@ -178,6 +178,56 @@ def test_simhash_divides_large_groups(spark):
         assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
 
 
+def near_kept(rows):
+    """Rows of least (id, text hash) of the groups that 5-word Jaccard >= 0.8 links, by plain comparison."""
+
+    def grams(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {None}
+
+    sets = [grams(r[1]) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    signed = lambda text: (h := xxhash.xxh64_intdigest((text or "").encode(), 42)) - (h >> 63 << 64)
+    least = {}
+    for r, x in zip(rows, label, strict=True):
+        key = (r[0] is None, r[0] or 0, signed(r[1]), r[0], r[1] or "")
+        least[x] = min(least.get(x, key), key)
+    return sorted(str(k[3:]) for k in least.values())
+
+
+def edited(text, n):
+    """text with n of its words replaced, evenly spread."""
+    words = text.split()
+    for k in range(n):
+        words[(2 * k + 1) * len(words) // (2 * n)] = f"new{RNG.randrange(10**6)}"
+    return " ".join(words)
+
+
+def near_rows():
+    base = [prose(200) for _ in range(4)]
+    texts = [*base, *(edited(b, n) for b in base for n in (1, 2, 3, 4, 5, 6, 8)), *(prose(100) for _ in range(10)), "a b", "A  B", "", None]
+    # a chain: neighbours are near, its ends are not
+    for _ in range(12):
+        texts.append(edited(texts[-1] or base[0], 3))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return [*rows, rows[1], (None, base[2]), (None, "only here without a number")]
+
+
+@pytest.mark.parametrize("group", [nearcopies.GROUP, 4])
+def test_near_copies(spark, group, monkeypatch):
+    monkeypatch.setattr(nearcopies.near_groups, "__defaults__", ("doc_id", "text", group))
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = near_kept(rows)
+    assert len(want) < len(simhash.near_dedup(df).collect())
+    assert sorted(str((r[0], r[1] or "")) for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
+
+
 def checked_packing(rows, out):
     from tokenizers import Tokenizer
 
