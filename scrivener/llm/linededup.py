@@ -4,6 +4,10 @@ The lines of a text that hold a word form a sequence (blank lines are no part of
 RUN consecutive lines of it. A line goes if it lies in a run that also starts earlier: at a smaller (id, text hash,
 place). Runs are judged on the input.
 
+That is op1's rule, as its SQL has it. The pipeline's stage has a wider one: a line of LONG or more words is a run by
+itself, and so is a whole text of a single line. Such lines are counted, and joined to their first place, by
+two 64-bit hashes of the line (salted as below); blank texts hold none.
+
 Of every RUN consecutive line hashes the least (leftmost of equals) is a fingerprint, so each run holds one and two
 equal runs hold the same one at the same place. Fingerprints are counted over the corpus; those found once are
 dropped. Around each place of the others, the windows that chose it extend the match to both sides; a window's name
@@ -28,6 +32,8 @@ from scrivener.llm.common import WORD, keyed, packed, written
 RUN = 2
 #: Fingerprints whose rows are salted (a broadcast of so many numbers), and the salts. Any other has one in HOT rows at most.
 HOT, SALTS = 1000, 32
+#: Words of a line that is a run by itself, in the pipeline's stage.
+LONG = 50
 
 
 def _lines(text: Column) -> Column:
@@ -53,9 +59,19 @@ def _windows(docs: DataFrame, run: int) -> DataFrame:
     return hashed.select("_id", "_key", F.explode(windows).alias("w")).select("_id", "_key", "w.*")
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(_id, _key, gone): places in the sequence of each document's lines that go, for documents that lose any."""
-    windows = _windows(docs.select("_id", "_key", "_text"), run)
+def _alone(docs: DataFrame, long: int) -> DataFrame:
+    """As _windows, for lines that are runs by themselves."""
+    lines = docs.select("_id", "_key", _lines(F.col("_text")).alias("l"))
+    worded = F.transform("l", lambda x, p: F.struct(p.alias("p"), x["s"].alias("s")))
+    # long or more words hold at least 2 * long - 1 characters
+    enough = lambda x: (F.size("l") == 1) | ((F.length(x["s"]) >= 2 * long - 1) & (F.regexp_count(x["s"], F.lit(WORD)) >= long))
+    each = lines.select("_id", "_key", F.explode(F.filter(worded, enough)).alias("w"))
+    a = F.xxhash64("w.s")
+    return each.select("_id", "_key", a.alias("print"), F.col("w.p").alias("at"), F.col("w.p").alias("p"), a.alias("a"), F.xxhash64(F.lit("line"), "w.s").alias("b"))
+
+
+def _repeated(windows: DataFrame, run: int) -> DataFrame:
+    """(_id, _key, p): places of the lines of later windows."""
     often = windows.groupBy("print").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("_id").alias("i0"), F.max("_id").alias("i1"), F.min("_key").alias("k0"), F.max("_key").alias("k1"))
     # a print of one place only is unique
     often = written(often.filter("n > 1 AND NOT (lo = hi AND i0 = i1 AND k0 = k1)").select("print", "n"), "prints")
@@ -70,14 +86,22 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     live = salted(windows, own).join(salted(often.select("print"), every), ["print", "salt"])
     first = live.groupBy("print", "a", "b").agg(F.min(F.struct("_id", "_key", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = live.join(salted(first, every), ["print", "a", "b", "salt"]).filter(F.struct("_id", "_key", "p") > F.col("first"))
-    places = later.select("_id", "_key", F.explode(F.sequence(F.col("p"), F.col("p") + run - 1)).alias("p"))
+    return later.select("_id", "_key", F.explode(F.sequence(F.col("p"), F.col("p") + run - 1)).alias("p"))
+
+
+def repeated_lines(docs: DataFrame, run: int = RUN, long: int | None = None) -> DataFrame:
+    """(_id, _key, gone): places in the sequence of each document's lines that go, for documents that lose any."""
+    texts = docs.select("_id", "_key", "_text")
+    places = _repeated(_windows(texts, run), run)
+    if long is not None:
+        places = places.union(_repeated(_alone(texts, long), 1))
     return places.groupBy("_id", "_key").agg(F.collect_set("p").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text", long: int | None = None) -> DataFrame:
     """_row (struct of the columns but text), _null (text was null), _text, _kept_text, _lines and _gone (counts)."""
     rows = docs.select(packed(docs, text), docs[text].isNull().alias("_null"), *keyed(docs, doc_id, text))
-    gone = repeated_lines(rows, run).select(F.col("_id").alias("_gi"), F.col("_key").alias("_gk"), "gone")
+    gone = repeated_lines(rows, run, long).select(F.col("_id").alias("_gi"), F.col("_key").alias("_gk"), "gone")
     joined = rows.join(gone, (F.col("_id") == F.col("_gi")) & (F.col("_key") == F.col("_gk")), "left")
     out = F.coalesce(F.transform("gone", lambda p: F.get(F.col("_ls"), p)["i"]), F.array().cast("array<int>"))
     cut = joined.withColumn("_ls", _lines(F.col("_text"))).withColumns({"_out": out, "_all": F.split("_text", "\n")})
@@ -86,8 +110,8 @@ def line_dedup(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: st
     return cut.select("_row", "_null", "_text", kept.alias("_kept_text"), F.size("_ls").cast("bigint").alias("_lines"), F.size("_out").cast("bigint").alias("_gone"))
 
 
-def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with later repeated runs deleted from text (n_chars follows, where there is one)."""
+def without_repeats(docs: DataFrame, run: int = RUN, long: int | None = LONG) -> DataFrame:
+    """docs with later repeated runs and long lines deleted from text (n_chars follows, where there is one)."""
 
     def column(c: str) -> Column:
         own = F.col("_row")[c] if c != "text" else F.when(~F.col("_null"), F.col("_text"))
@@ -97,7 +121,7 @@ def without_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
             return F.when(F.col("_gone") == 0, own).otherwise(F.length("_kept_text").cast(docs.schema[c].dataType)).alias(c)
         return own.alias(c)
 
-    return line_dedup(docs, run).select(*(column(c) for c in docs.columns))
+    return line_dedup(docs, run, long=long).select(*(column(c) for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:

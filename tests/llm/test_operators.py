@@ -111,6 +111,35 @@ def test_line_dedup(spark, docs, run, hot, monkeypatch):
     assert tuples(linededup.line_dedup(docs, run), ["_row.doc_id", "_lines", "_gone", "_kept_text"]) == sorted(want)
 
 
+def plain_repeats(rows, long=50):
+    """(id, text left) by the stage's rule: 2 lines in a row, a line of long or more words, a text of one line."""
+    signed = lambda text: (h := xxhash.xxh64_intdigest(text.encode(), 42)) - (h >> 63 << 64)
+    seen, left = set(), {}
+    for _, _, doc_id, text in sorted({(-(2**63) if r[0] is None else r[0], signed(r[1] or ""), r[0], r[1] or "") for r in rows}, key=lambda k: k[:2]):
+        lines = text.split("\n")
+        held, gone = [i for i, s in enumerate(lines) if s.strip(" \t\r\v\f")], set()
+        for p, i in enumerate(held):
+            alone = len(lines[i].encode().split()) >= long or len(held) == 1
+            for own in ([[i]] if alone else []) + ([held[p : p + 2]] if p + 1 < len(held) else []):
+                gram = tuple(lines[k] for k in own)
+                gone.update(own if gram in seen else [])
+                seen.add(gram)
+        left[doc_id, text] = "\n".join(s for i, s in enumerate(lines) if i not in gone)
+    return sorted(str((r[0], left[r[0], r[1] or ""])) for r in rows)
+
+
+@pytest.mark.parametrize("hot", [linededup.HOT, 1])
+def test_long_lines_repeated_alone(spark, hot, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", hot)
+    long, short = prose(60, 40), prose(49, 40)
+    texts = [f"{prose(30)}\n{long}\n{prose(30)}", f"{prose(20)}\n\n{long}\n{prose(20)}\n{long}", f"{prose(20)}\n{short}\n{prose(20)}", f"{prose(20)}\n{short}\n{prose(20)}", "one line", "\n one line\n", "one line\n\n", "", " ", long, f"{long}\n{short}", f"{long}\n{short}"]
+    rows = [*enumerate(texts), (0, texts[0]), (None, long), (99, None), (100, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = corpus_pipeline.line_dedup(spark, df, "").collect()
+    assert sorted(str((r[0], r[1] or "")) for r in got) == plain_repeats(rows)
+    assert sum(long in (r[1] or "") for r in got) == 1
+
+
 def test_suffix_dedup(spark, docs):
     seen, want, left = set(), [], copies()
     for doc_id, text in ordered(spark).values():
