@@ -452,3 +452,28 @@ def test_pipeline_stages(spark, docs, benchmark, tmp_path):
     kept = [tuple(r) for r in now.collect()]
     checked_packing(kept, corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect())
     assert Counter((r["doc_id"], r["piece"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter((r["doc_id"], r["piece"]) for r in packing.best_fit(now).collect())
+
+
+def test_stages_by_plain_comparison(spark, benchmark, tmp_path):
+    benchmark.filter("length(text) > 20").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long, item = prose(60, 40), ROWS[9][1][:200].split()
+    texts = [r[1] for r in ROWS[:30]] + [f"{prose(30)}\n{long}\n{prose(30)}" for _ in range(3)] + [" ".join([*prose(30).split(), *item[:n], *prose(30).split()]) for n in (len(item), len(item) - 1, len(item) // 2)]
+    rows = [*near_rows(), *((1000 + i, t) for i, t in enumerate(texts))]
+    now = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    plain = lambda df: [(r[0], r[1]) for r in df.collect()]
+    lines = plain(corpus_pipeline.line_dedup(spark, now, str(tmp_path)))
+    assert sorted(str((i, t or "")) for i, t in lines) == plain_repeats(rows)
+    assert sum(long in (t or "") for _, t in lines) == 1
+    now = spark.createDataFrame(lines, now.schema)
+    near = plain(corpus_pipeline.near_dedup(spark, now, str(tmp_path)))
+    assert sorted(str((i, t or "")) for i, t in near) == near_kept(lines)
+    assert len(near) < len({t for _, t in lines})
+
+    def grams(text, n):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+    items = [g for r in benchmark.collect() if len(r["text"] or "") > 20 for g in [grams(r["text"], 5)]]
+    clean = [(i, t) for i, t in near if not any(10 * len(g & grams(t, 5)) >= 8 * len(g) for g in items)]
+    got = plain(corpus_pipeline.decontamination(spark, spark.createDataFrame(near, now.schema), str(tmp_path)))
+    assert Counter(got) == Counter(clean) and len(clean) < len(near)
