@@ -140,8 +140,8 @@ def unclosed_bracket(d, c):
     op = f"translate(ch, {d.text(k.BRACKET_CLOSERS)}, {d.text(k.BRACKET_OPENERS)})"
     is_op = d.has("ch", f"[{inside(k.BRACKET_OPENERS)}]")
     body = f"CASE WHEN st = '!' OR ch = '' THEN st WHEN {is_op} THEN concat(st, ch) WHEN right(st, 1) = {op} THEN substr(st, 1, length(st) - 1) ELSE '!' END"
-    only = d.sub(c, f"[^{inside(k.BRACKET_OPENERS + k.BRACKET_CLOSERS)}]")
-    return f"({d.fold(d.chars(only), d.text(''), body)} <> '')"
+    some = inside(k.BRACKET_OPENERS + k.BRACKET_CLOSERS)
+    return f"({d.has(c, f'[{some}]')} AND {d.fold(d.chars(d.sub(c, f'[^{some}]')), d.text(''), body)} <> '')"
 
 
 def unclosed_quote(d, c):
@@ -150,8 +150,18 @@ def unclosed_quote(d, c):
     at = f"instr(st, {op})"
     is_op = d.has("ch", f"[{k.DIALOG_OPENERS}]")
     body = f"CASE WHEN st = '!' OR ch = '' THEN st WHEN {is_op} THEN concat(st, ch) WHEN {at} = 0 THEN '!' ELSE concat(substr(st, 1, {at} - 1), substr(st, {at} + 1)) END"
-    only = d.sub(c, f"[^{k.DIALOG_OPENERS}{k.DIALOG_CLOSERS}]")
-    return f"({d.fold(d.chars(only), d.text(''), body)} <> '')"
+    some = k.DIALOG_OPENERS + k.DIALOG_CLOSERS
+    return f"({d.has(c, f'[{some}]')} AND {d.fold(d.chars(d.sub(c, f'[^{some}]')), d.text(''), body)} <> '')"
+
+
+def dialog_open(d, c):
+    """Of a paragraph: a quote is open. A closer without its opener is let pass, and the two low closers end nothing."""
+    op = f"translate(ch, {d.text(k.DIALOG_PAIRED)}, {d.text(k.DIALOG_OPENERS)})"
+    at = f"instr(st, {op})"
+    is_op = d.has("ch", f"[{k.DIALOG_OPENERS}]")
+    body = f"CASE WHEN ch = '' THEN st WHEN {is_op} THEN concat(st, ch) WHEN {at} = 0 THEN st ELSE concat(substr(st, 1, {at} - 1), substr(st, {at} + 1)) END"
+    some = k.DIALOG_OPENERS + k.DIALOG_PAIRED
+    return f"({d.has(c, f'[{k.DIALOG_OPENERS}]')} AND {d.fold(d.chars(d.sub(c, f'[^{some}]')), d.text(''), body)} <> '')"
 
 
 def bracket_balanced(d, c, opener):

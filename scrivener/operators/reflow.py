@@ -1,8 +1,9 @@
 """CJK paragraph reflow: an ordered fold over a document's lines.
 
-Guards are native: blank and Latin-leading texts pass unchanged and never reach Python. Other documents go through one
-Arrow kernel, a row each, without a shuffle. The fold keeps summaries of the paragraph so far (bracket stack, counts,
-open dialogs, a tail), so its time follows the text's length.
+The input is read once. Guards are native: blank and Latin-leading texts pass unchanged and the kernel gets null in
+their place, so they never reach Python. Other documents go through one Arrow kernel, a row each, without a shuffle.
+The fold keeps summaries of the paragraph so far (bracket stack, counts, open dialogs, a tail), so its time follows the
+text's length.
 """
 
 from __future__ import annotations
@@ -285,16 +286,18 @@ def fold(text: str, page_header: bool = False, heading: re.Pattern | None = None
     return out
 
 
+KINDS = "array<struct<kind:string,text:string>>"
+
+
 def _folded(page_header: bool, heading: str | None):
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
 
-    def run(batches):
+    def run(texts: pa.Array) -> pa.Array:
         rx = re.compile(heading) if heading else None
-        for b in batches:
-            rows = [[{"kind": kind, "text": s} for kind, s in fold(t.as_py(), page_header, rx)] for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, kinds)], [*b.schema.names[:-1], "segments"])
+        rows = (None if t is None else [{"kind": kind, "text": s} for kind, s in fold(t, page_header, rx)] for t in texts.to_pylist())
+        return pa.array(rows, kinds)
 
-    return run
+    return F.arrow_udf(run, KINDS)
 
 
 def passes(text: str) -> F.Column:
@@ -305,10 +308,9 @@ def passes(text: str) -> F.Column:
 def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", page_header: bool = False, heading: str | None = None) -> DataFrame:
     """(doc_id, segments array<struct<kind, text>>); a text that passes is one segment of kind "unchanged". Null text stays null."""
     kept = docs.select(doc_id, F.col(text).cast("string").alias("text"))
-    kind = dict(kept.dtypes)[doc_id]
-    same = kept.filter(F.col("text").isNull() | passes("text")).select(doc_id, F.when(F.col("text").isNotNull(), F.array(F.struct(F.lit("unchanged").alias("kind"), "text"))).alias("segments"))
-    folded = kept.filter(F.col("text").isNotNull() & ~passes("text")).mapInArrow(_folded(page_header, heading), f"`{doc_id}` {kind}, segments array<struct<kind:string,text:string>>")
-    return same.unionByName(folded)
+    folded = _folded(page_header, heading)(F.when(~passes("text"), F.col("text")))
+    same = F.when(F.col("text").isNotNull(), F.array(F.struct(F.lit("unchanged").alias("kind"), "text")))
+    return kept.select(doc_id, F.coalesce(folded, same).alias("segments"))
 
 
 def reflow(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", page_header: bool = False, compact: bool = False, heading: str | None = None) -> DataFrame:

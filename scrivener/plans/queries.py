@@ -15,6 +15,7 @@ from scrivener.functions.dialect import DUCK, SPARK
 from scrivener.operators import office
 from scrivener.operators.convert import convert
 from scrivener.operators.reflow import reflow, segments
+from scrivener.plans.folding import reflow_sql, segments_sql
 from scrivener.sources.readers import without_bom
 
 # Letters of the mapping.
@@ -206,9 +207,8 @@ def registry() -> dict[str, tuple]:
     q["dict_convert_phrases"] = (lambda s, d: convert(cjk_documents(s, d), _dictionary(s, True), "s2t"), f"SELECT doc_id, replace(replace(translate({phrase}, '汉语这来个国时们书', '漢語這來個國時們書'), chr(1), '這回'), chr(2), '来箇') AS text FROM (SELECT doc_id, string_agg(raw, chr(10) ORDER BY n) AS text FROM {LINES_SQL} GROUP BY doc_id)")
     q["reflow_passthrough"] = (lambda s, d: reflow(_docs(s, d).filter(F.expr(latin(SPARK)))).select("doc_id", "text"), f"SELECT doc_id, text FROM documents WHERE {latin(DUCK)}")
     q["utf8_bom"] = (lambda s, d: _docs(s, d).select("doc_id", F.length(without_bom(F.concat(F.unhex(F.when(F.col("doc_id") % 2 == 0, "EFBBBF").otherwise("")), F.col("text").cast("binary")))).cast("bigint").alias("n")), "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents")
-    q["reflow_segments"] = (_segments, None)
-    q["reflow_text"] = (lambda s, d: reflow(cjk_documents(s, d)), None)
-    q["reflow_compact"] = (lambda s, d: reflow(cjk_documents(s, d), compact=True), None)
-    q["reflow_header"] = (lambda s, d: reflow(cjk_documents(s, d), page_header=True), None)
-    q["reflow_heading_regex"] = (lambda s, d: reflow(cjk_documents(s, d), heading="^[天地].{0,3}[。！]"), None)
+    cjk = f"(SELECT doc_id, string_agg(raw, chr(10) ORDER BY n) AS text FROM {LINES_SQL} GROUP BY doc_id)"
+    q["reflow_segments"] = (_segments, f"SELECT doc_id, CAST(unnest(range(len(segs))) AS INT) AS seg_no, unnest(segs).kind AS kind, unnest(segs).text AS text FROM ({segments_sql(cjk)})")
+    for name, options in {"reflow_text": {}, "reflow_compact": {"compact": True}, "reflow_header": {"page_header": True}, "reflow_heading_regex": {"heading": "^[天地].{0,3}[。！]"}}.items():
+        q[name] = (lambda s, d, o=options: reflow(cjk_documents(s, d), **o), reflow_sql(cjk, **options))
     return q

@@ -1,13 +1,18 @@
 """The fold on cases traced by hand, its line rules against the native ones, and properties of whole documents."""
 
 import random
+import re
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scrivener.functions import rules
 from scrivener.functions.dialect import SPARK
 from scrivener.operators import reflow as R
+from scrivener.plans.folding import segments_sql
+from scrivener.plans.queries import cjk_documents
 
 
 @pytest.mark.parametrize(
@@ -32,8 +37,6 @@ def test_page_header_keeps_blank_lines_hard():
 
 
 def test_custom_heading():
-    import re
-
     assert [s for _, s in R.fold("天黑下来，没有人\n路上行人都已经回家去了。", heading=re.compile("^天"))] == ["天黑下来，没有人", "路上行人都已经回家去了。"]
 
 
@@ -79,3 +82,36 @@ def test_segments_hold_every_character():
         lines = [R._INDENT.sub("", R._TRIM_END.sub("", x)) for x in text.split("\n")]
         kept = [x if R._DIVIDER.match(x.lstrip(" 　")) else R.collapse(x) for x in lines]
         assert "".join(s for _, s in R.fold(text)) == "".join(k for k in kept if R._TRIM.sub("", k))
+
+
+LETTERS = "一二三四五六七八九十的了在是有人这中大为上个国"
+
+
+def written_line(rng):
+    if rng.random() < 0.1:
+        return rng.choice(["", "=== [Page 1/2] ===", "-----", "作者：三", "第一章 二", "三三三三" * 3, " "])
+    body = "".join(rng.choice(LETTERS) for _ in range(rng.randint(1, 26)))
+    return rng.choice(["", "", "", "“", "「", "（", "【", "第", "　　", " "]) + body + rng.choice(["", "", "", "。", "，", "”", "。”", "」", "）", "：", "！", "章", "】", "……", "."])
+
+
+@pytest.mark.parametrize(("page_header", "heading"), [(False, None), (True, None), (False, "^[一二].{0,3}[。！]")])
+def test_fold_agrees_with_the_plain_fold(page_header, heading):
+    rng = random.Random(9)
+    texts = ["\n".join("".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 14))) for _ in range(600)]
+    texts += ["\n".join(written_line(rng) for _ in range(rng.randint(1, 30))) for _ in range(900)]
+    given = pa.table({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    c = duckdb.connect()
+    c.register("given", given)
+    rows = dict(c.sql(segments_sql("given", page_header, heading)).fetchall())
+    rx, folded = re.compile(heading) if heading else None, 0
+    for i, text in enumerate(texts):
+        got = [(g["kind"], g["text"]) for g in rows[i]]
+        if got != [("unchanged", text)]:
+            folded += 1
+            assert got == R.fold(text, page_header, rx), text
+    assert folded > 1000
+
+
+def test_reads_its_input_once(spark):
+    plan = R.reflow(cjk_documents(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") == 1 and "Union" not in plan
