@@ -106,6 +106,28 @@ def without_last(d, c):
     return f"substr({c}, 1, greatest(length({c}) - 1, 0))"
 
 
+def first_n(d, c, n):
+    """The first n characters, and where the rest begins."""
+    return f"left({c}, {n})", f"least(length({c}), {n}) + 1"
+
+
+def last_visible_place(d, c):
+    """The place, from 1, of the last character that isn't white space; 0 without one."""
+    return f"length({trim_end(d, c)})"
+
+
+def wrapped(d, c):
+    """Trimmed, the text begins and ends with one bracket pair."""
+    t = trim(d, c)
+    pair = f"translate(left({t}, 1), {d.text(k.BRACKET_OPENERS)}, {d.text(k.BRACKET_CLOSERS)})"
+    return f"({d.has(t, f'\\A[{inside(k.BRACKET_OPENERS)}]')} AND length({t}) >= 2 AND right({t}, 1) = {pair})"
+
+
+def ends_clause(d, c):
+    """The last character that isn't white space ends a clause or sentence."""
+    return d.has(c, f"[{inside(k.CLAUSE_OR_END)}]{_B}*\\z")
+
+
 def last_two(d, c):
     """Null where there are fewer than two."""
     return f"CASE WHEN {_len(d, c, f'{_B}+')} >= 2 THEN {_last(d, c, 2)} END"
@@ -210,7 +232,7 @@ def page_marker(d, c):
 
 def title_heading(d, c):
     t = trim(d, c)
-    words = "|".join(k.HEADING_WORDS.split())
+    words = "|".join(k.HEADING_WORDS)
     places = d.array(", ".join(str(100 * i + j) for i in range(11) for j in range(i + 1, i + 7)))
     at = lambda n: f"substr({t}, cast({n} AS int), 1)"
     i, j = f"({d.div('k', '100')} + 1)", "(k % 100 + 1)"
@@ -240,7 +262,7 @@ def heading_like(d, c):
 def metadata_line(d, c):
     t = trim(d, c)
     shape = f"(?s)\\A([^{k.METADATA_SEPARATORS}]{{1,10}})[{k.METADATA_SEPARATORS}]{_B}*([^{WS}{k.DIALOG_OPENERS}]).*\\z"
-    keys = ", ".join(f"'{x}'" for x in k.METADATA_KEYS.split())
+    keys = ", ".join(f"'{x}'" for x in k.METADATA_KEYS)
     return f"(length({t}) <= 30 AND {trim(d, d.part(t, shape))} IN ({keys}))"
 
 
@@ -352,3 +374,17 @@ def error_message(d, c):
 
 def error_hint(d, c):
     return f"CASE {c} {' '.join(f'WHEN {i} THEN {d.text(h)}' for i, h in HINTS.items())} ELSE {d.text(OTHER_HINT)} END"
+
+
+def error_report(d, path, code):
+    """Four lines about a document that doesn't open."""
+    line = d.text(chr(10))
+    return f"concat('Error: failed to open PDF', {line}, '  Path   : ', {path}, {line}, '  PDFium : ', {error_name(d, code)}, ' — ', {error_message(d, code)}, {line}, '  Hint   : ', {error_hint(d, code)})"
+
+
+def failure(path: str | None, code: int | None, message: str | None) -> str:
+    """error_report's text, or, without a code, one line."""
+    if code is None:
+        return f"Error: {path}: {message or 'no text'}"
+    name, said = ERRORS.get(code, OTHER_ERROR)
+    return f"Error: failed to open PDF\n  Path   : {path}\n  PDFium : {name} — {said}\n  Hint   : {HINTS.get(code, OTHER_HINT)}"

@@ -1,63 +1,131 @@
-"""Dictionary conversion of script variants: longest match first, from a table (config, src, dst) that the user gives.
+"""Dictionary conversion of script variants: at each place the longest entry, from a table (config, src, dst) of the user's.
 
-One-character entries alone are a native translate(). A dictionary with phrases is checked to be at most ENTRIES
-entries, and travels with the kernel; the rest of the text is left as it is.
+A config may go in rounds (an optional column `round`), each over what the one before made. Entries of one character alone
+are a native translate(). Others go through an Arrow kernel: phrases are found by their first two characters and then by
+length, longest first, so the time doesn't grow with their number. The table is checked to hold at most ENTRIES entries
+and broadcast once. Quotation marks are converted on demand (the `punct` switch).
+
+Defined results: null text stays null; of entries with the same src the least dst counts; entries with null or empty src
+or null dst don't; what no entry covers stays as it is.
 """
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRIES = 2_000_000
+# Names of the known configs; a dictionary may have others.
+CONFIGS = ("s2t", "t2s", "s2tw", "tw2s", "s2twp", "tw2sp", "s2hk", "hk2s", "t2tw", "tw2t", "t2twp", "tw2tp", "t2hk", "hk2t", "t2jp", "jp2t")
+# Quotation marks of simplified and of traditional texts.
+SIMPLIFIED_QUOTES, TRADITIONAL_QUOTES = "“”‘’", "「」『』"
 
 
 def configs(dictionary: DataFrame) -> list[str]:
     return sorted(r["config"] for r in dictionary.select("config").distinct().collect())
 
 
-def entries(dictionary: DataFrame, config: str) -> dict[str, str]:
-    """The entries of a config; an unknown config is an error that names the known ones."""
-    rows = dictionary.filter(F.col("config") == config).select("src", "dst").limit(ENTRIES + 1).collect()
+def read_dictionary(spark: SparkSession, path: str, config: str, round_: int = 0) -> DataFrame:
+    """Text files with a line for each entry: src, a tab, and dst or several of which the first counts."""
+    line = F.split(F.col("value"), "\t")
+    rows = spark.read.text(path).filter(F.col("value").rlike(r"\A[^#\t][^\t]*\t"))
+    return rows.select(F.lit(config).alias("config"), F.lit(round_).alias("round"), F.get(line, 0).alias("src"), F.get(F.split(F.trim(F.get(line, 1)), " "), 0).alias("dst"))
+
+
+def entries(dictionary: DataFrame, config: str) -> list[dict[str, str]]:
+    """The entries of a config by round; a config that the dictionary lacks is an error that names those it has."""
+    n = F.col("round").cast("int") if "round" in dictionary.columns else F.lit(0)
+    valid = dictionary.filter((F.col("config") == config) & (F.col("src") != "") & F.col("dst").isNotNull())
+    rows = valid.groupBy(F.coalesce(n, F.lit(0)).alias("round"), "src").agg(F.min("dst").alias("dst")).limit(ENTRIES + 1).collect()
     if len(rows) > ENTRIES:
         raise ValueError(f"dictionary {config} has over {ENTRIES} entries")
     if not rows:
-        raise ValueError(f"unknown config {config}; known: {', '.join(configs(dictionary))}")
-    return {r["src"]: r["dst"] for r in rows}
+        raise ValueError(f"unknown config {config}; known: {', '.join(configs(dictionary))}; supported: {' | '.join(CONFIGS)}")
+    by_round: dict[int, dict[str, str]] = defaultdict(dict)
+    for r in rows:
+        by_round[r["round"]][r["src"]] = r["dst"]
+    return [by_round[k] for k in sorted(by_round)]
 
 
-class Converter:
+def quotes(config: str) -> dict[str, str]:
+    """Quotation marks that change with a config: of simplified texts to traditional ones, or back."""
+    if config.startswith("s"):
+        return dict(zip(SIMPLIFIED_QUOTES, TRADITIONAL_QUOTES, strict=True))
+    return dict(zip(TRADITIONAL_QUOTES, SIMPLIFIED_QUOTES, strict=True)) if config.endswith(("2s", "2sp")) else {}
+
+
+def rounds_of(dictionary: DataFrame, config: str, punct: bool = False) -> list[dict[str, str]]:
+    return entries(dictionary, config) + ([q] if punct and (q := quotes(config)) else [])
+
+
+class Round:
     def __init__(self, table: dict[str, str]):
-        self.table = table
-        ordered = sorted(table, key=len, reverse=True)
-        self.pattern = re.compile("|".join(map(re.escape, ordered))) if ordered else None
+        self.single = str.maketrans({a: b for a, b in table.items() if len(a) == 1})
+        self.phrases = {a: b for a, b in table.items() if len(a) > 1}
+        sizes = defaultdict(set)
+        for a in self.phrases:
+            sizes[a[:2]].add(len(a))
+        self.sizes = {a: sorted(n, reverse=True) for a, n in sizes.items()}
 
     def __call__(self, text: str) -> str:
-        return self.pattern.sub(lambda m: self.table[m[0]], text) if self.pattern else text
+        if not self.phrases:
+            return text.translate(self.single)
+        sizes, phrases, out, at, i, end = self.sizes.get, self.phrases.get, [], 0, 0, len(text) - 1
+        while i < end:
+            for n in sizes(text[i : i + 2], ()):
+                made = phrases(text[i : i + n])
+                if made is not None and i + n <= end + 1:
+                    out += text[at:i].translate(self.single), made
+                    i += n
+                    at = i
+                    break
+            else:
+                i += 1
+        return "".join([*out, text[at:].translate(self.single)])
 
 
-def native(c: Column, table: dict[str, str]) -> Column:
-    """For entries of one character to one character."""
-    return F.translate(c, "".join(table), "".join(table.values()))
+class Converter:
+    def __init__(self, rounds: list[dict[str, str]]):
+        self.rounds = [Round(t) for t in rounds]
+
+    def __call__(self, text: str) -> str:
+        for r in self.rounds:
+            text = r(text)
+        return text
 
 
-def _converted(table: dict[str, str]):
-    def run(batches):
-        convert = Converter(table)
-        for b in batches:
-            out = [t if t is None else convert(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], b.schema.names)
+def shared(spark: SparkSession, rounds: list[dict[str, str]]):
+    """A function that gives the converter, made once in each worker process from a broadcast table."""
+    held = spark.sparkContext.broadcast(rounds)
 
-    return run
+    def converter() -> Converter:
+        if not hasattr(held, "_converter"):
+            held._converter = Converter(held.value)
+        return held._converter
 
+    return converter
 
-def convert(docs: DataFrame, dictionary: DataFrame, config: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def native(c: Column, rounds: list[dict[str, str]]) -> Column:
+    """For entries of one character to one character."""
+    for table in rounds:
+        c = F.translate(c, "".join(table), "".join(table.values()))
+    return c
+
+
+def convert(docs: DataFrame, dictionary: DataFrame, config: str, doc_id: str = "doc_id", text: str = "text", punct: bool = False) -> DataFrame:
     """(doc_id, text) converted."""
-    table = entries(dictionary, config)
-    kept = docs.select(doc_id, F.col(text).alias("text"))
-    if all(len(a) == len(b) == 1 for a, b in table.items()):
-        return kept.withColumn("text", native(F.col("text"), table))
-    return kept.mapInArrow(_converted(table), kept.schema)
+    rounds = rounds_of(dictionary, config, punct)
+    kept = docs.select(doc_id, F.col(text).cast("string").alias("text"))
+    if all(len(a) == len(b) == 1 for table in rounds for a, b in table.items()):
+        return kept.withColumn("text", native(F.col("text"), rounds))
+    converter = shared(docs.sparkSession, rounds)
+
+    def run(texts: pa.Array) -> pa.Array:
+        convert_one = converter()
+        return pa.array([t if t is None else convert_one(t) for t in texts.to_pylist()], pa.string())
+
+    return kept.withColumn("text", F.arrow_udf(run, "string")("text"))

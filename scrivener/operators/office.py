@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import copy
 import io
 import re
+import struct
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scrivener.operators.convert import Converter, entries
+from scrivener.operators.convert import rounds_of, shared
 
 FORMATS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub")
 # What holds a font's name in each format, around the name.
@@ -23,9 +26,13 @@ FONTS = {
     "odp": _ODF,
     "epub": r"""(font-family\s*:\s*)([^;"']+)()""",
 }
+# Cells, their text nodes, and what marks a cell whose text stands in it.
 CELL, TEXT_NODE = re.compile(r"<c\b[^>]*>.*?</c>"), re.compile(r"(<t\b[^>]*>)(.*?)(</t>)")
 INLINE = re.compile(r"""\A[^>]*t=(?:"inlineStr"|'inlineStr')[^>]*>""", re.S)
 
+#: What a broken, encrypted or unknown archive, or an entry that is no UTF-8, raises.
+ARCHIVE_ERRORS = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, UnicodeError, EOFError, NotImplementedError, struct.error)
+
 
 def is_target(fmt: str, name: str) -> bool:
     if fmt == "docx":
@@ -70,8 +77,37 @@ def convert_entry(xml: str, fmt: str, name: str, convert, keep_font: bool) -> st
     return unmask_fonts(done, held)
 
 
+def read_entry(source: zipfile.ZipFile, info: zipfile.ZipInfo) -> bytes:
+    if info.flag_bits & 1:
+        raise zipfile.BadZipFile(f"{info.filename} is encrypted")
+    return source.read(info)
+
+
+def copy_entry(source: zipfile.ZipFile, info: zipfile.ZipInfo, target: zipfile.ZipFile, name: str) -> None:
+    """The compressed bytes as they are, with the entry's times, attributes and extra fields."""
+    source.fp.seek(info.header_offset)
+    head = source.fp.read(30)
+    if head[:4] != b"PK\3\4":
+        raise zipfile.BadZipFile(f"no entry at the place of {info.filename}")
+    source.fp.seek(sum(struct.unpack("<HH", head[26:30])), io.SEEK_CUR)
+    data = source.fp.read(info.compress_size)
+    if len(data) < info.compress_size:
+        raise EOFError(f"{info.filename} ends early")
+    made = copy.copy(info)
+    made.filename = name
+    made.flag_bits &= ~8  # sizes stand in the header, not after the data
+    made.header_offset = target.start_dir
+    target.fp.seek(target.start_dir)
+    target.fp.write(made.FileHeader(None) + data)
+    target.start_dir = target.fp.tell()
+    target.filelist.append(made)
+    target.NameToInfo[name] = made
+    target._didModify = True
+
+
 def convert_bytes(content: bytes, fmt: str, convert, keep_font: bool = False) -> tuple[bytes, int]:
-    """The archive with its target entries converted, and their number. Unsafe entries go; an EPUB's mimetype comes first, stored."""
+    """The archive with its target entries converted, and their number. Unsafe entries go; an EPUB's mimetype comes first,
+    stored; other entries are copied without being unpacked. A target entry must be UTF-8."""
     out, n = io.BytesIO(), 0
     with zipfile.ZipFile(io.BytesIO(content)) as source, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
         names = [(i, i.filename.replace("\\", "/")) for i in source.infolist()]
@@ -82,25 +118,27 @@ def convert_bytes(content: bytes, fmt: str, convert, keep_font: bool = False) ->
             if name.endswith("/"):
                 target.writestr(zipfile.ZipInfo(name), b"", zipfile.ZIP_STORED)
                 continue
-            data = source.read(info)
-            kind = zipfile.ZIP_STORED if info is first else info.compress_type
-            if info is not first and is_target(fmt, name):
-                data, kind = convert_entry(data.decode("utf-8", "replace"), fmt, name, convert, keep_font).encode(), zipfile.ZIP_DEFLATED
+            if info is first:
+                target.writestr(zipfile.ZipInfo(name), read_entry(source, info), zipfile.ZIP_STORED)
+            elif is_target(fmt, name):
+                done = convert_entry(read_entry(source, info).decode("utf-8"), fmt, name, convert, keep_font)
+                target.writestr(zipfile.ZipInfo(name), done.encode(), zipfile.ZIP_DEFLATED)
                 n += 1
-            target.writestr(zipfile.ZipInfo(name), data, kind)
+            else:
+                copy_entry(source, info, target, name)
     return out.getvalue(), n
 
 
-def _archives(table: dict[str, str], keep_font: bool):
+def _archives(converter, keep_font: bool):
     def run(batches):
-        convert = Converter(table)
+        convert = converter()
         for b in batches:
             rows = []
             for fmt, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 try:
-                    data, n = convert_bytes(content, fmt, convert, keep_font)
+                    data, n = convert_bytes(content or b"", fmt, convert, keep_font)
                     rows.append((True, f"converted {n} entries", n, data))
-                except (zipfile.BadZipFile, TypeError, EOFError) as e:
+                except ARCHIVE_ERRORS as e:
                     rows.append((False, f"not converted: {e}", 0, None))
             kinds = (pa.bool_(), pa.string(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["path", "success", "message", "converted_count", "content"])
@@ -108,6 +146,8 @@ def _archives(table: dict[str, str], keep_font: bool):
     return run
 
 
-def convert_archives(archives: DataFrame, dictionary: DataFrame, config: str, keep_font: bool = False) -> DataFrame:
-    """archives: path, format, content. path, success, message, converted_count, content; a broken archive is a row that says so."""
-    return archives.select("path", "format", "content").mapInArrow(_archives(entries(dictionary, config), keep_font), "path string, success boolean, message string, converted_count int, content binary")
+def convert_archives(archives: DataFrame, dictionary: DataFrame, config: str, keep_font: bool = False, punct: bool = False) -> DataFrame:
+    """archives: path, format, content. path, success, message, converted_count, content; an archive that is null, broken or
+    encrypted, or whose target entry is no UTF-8, is a row that says so."""
+    converter = shared(archives.sparkSession, rounds_of(dictionary, config, punct))
+    return archives.select("path", "format", "content").mapInArrow(_archives(converter, keep_font), "path string, success boolean, message string, converted_count int, content binary")

@@ -34,10 +34,10 @@ _DIVIDER = _rx(f"\\A{_B}*(?:[{k.DIVIDERS}]{_B}*){{3,}}\\Z")
 _PHRASES = _rx(rules.PHRASES.replace("\\z", "\\Z"))
 _TOKEN = _rx(r"\A(.{4,10}?)\1{2,}\Z")
 _MARKER = _rx("\\A=== .*===\\Z")
-_HEAD_WORD = _rx(f"\\A(?:{'|'.join(k.HEADING_WORDS.split())})")
+_HEAD_WORD = _rx(f"\\A(?:{'|'.join(k.HEADING_WORDS)})")
 _VOLUME = _rx(f"\\A[卷章][{k.NUMERALS}]")
 _META = _rx(f"\\A([^{k.METADATA_SEPARATORS}]{{1,10}})[{k.METADATA_SEPARATORS}]{_B}*[^{WS}{k.DIALOG_OPENERS}]")
-_KEYS = frozenset(k.METADATA_KEYS.split())
+_KEYS = frozenset(k.METADATA_KEYS)
 _ASCII, _ALL_CJK, _ALL_CJK_WS = _rx("\\A[\x00-\x7f]*\\Z"), _rx(f"\\A[{CJK}]+\\Z"), _rx(f"\\A{_B}*(?:[{CJK}]{_B}*)+\\Z")
 _OK = f"[ /:.\\-A-Za-z0-9０-９{CJK}]*"
 _MIXED = _rx(f"\\A(?:{_OK}[{CJK}]{_OK}[A-Za-z0-9０-９]|{_OK}[A-Za-z0-9０-９]{_OK}[{CJK}])")

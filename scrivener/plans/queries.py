@@ -16,7 +16,7 @@ from scrivener.operators import office
 from scrivener.operators.convert import convert
 from scrivener.operators.reflow import reflow, segments
 from scrivener.plans.folding import reflow_sql, segments_sql
-from scrivener.sources.readers import without_bom
+from scrivener.sources.readers import archive_entries, without_bom
 
 # Letters of the mapping.
 FROM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ,.!?:()"
@@ -66,11 +66,11 @@ LINE_RULES = {
     "unclosed_bracket": r.unclosed_bracket, "unclosed_quote": r.unclosed_quote, "bracket_balance": lambda d, c: r.bracket_balanced(d, c, "'（'"), "sentence_boundary": r.sentence_boundary,
     "bracket_boundary": r.bracket_boundary, "chapter_ending": r.chapter_end, "page_marker": r.page_marker, "title_heading": r.title_heading, "heading_like": r.heading_like, "metadata_line": r.metadata_line,
     "custom_heading": lambda d, c: f"({r.title_heading(d, c)} OR {d.has(c, '\\A[天地].{0,3}[。！]')})", "blank_guard": r.blank, "strong_end": lambda d, c: d.has(c, f"[{r.k.STRONG_END}]\\z"),
-    "digit_lines": lambda d, c: d.has(c, "[0-9０-９]"), "clause_end": lambda d, c: d.has(c, f"[{inside(r.k.CLAUSE_OR_END)}]\\z"),
+    "wrapped_lines": r.wrapped, "visible_end_punct": r.ends_clause, "digit_lines": lambda d, c: d.has(c, "[0-9０-９]"), "clause_end": lambda d, c: d.has(c, f"[{inside(r.k.CLAUSE_OR_END)}]\\z"),
 }
 #: name: rule over raw giving text
 LINE_TEXTS = {
-    "halfwidth_indent": r.without_indent, "without_last_char": r.without_last, "last_two_chars": lambda d, c: f"coalesce({r.last_two(d, c)}, '')", "trim_unicode": r.trim, "token_collapse": r.token_collapse, "segment_collapse": r.segment_collapse,
+    "halfwidth_indent": r.without_indent, "without_last_char": r.without_last, "last_two_chars": lambda d, c: f"coalesce({r.last_two(d, c)}, '')", "trim_unicode": r.trim, "first_chars": lambda d, c: "concat({}, ':', cast({} AS varchar(20)))".format(*r.first_n(d, c, 5)), "last_visible_place": lambda d, c: f"cast({r.last_visible_place(d, c)} AS varchar(20))", "token_collapse": r.token_collapse, "segment_collapse": r.segment_collapse,
 }
 #: name: rule over documents' text giving text
 DOC_TEXTS = {"newline_normalize": r.newlines, "compress_newlines": r.compress_newlines, "page_normalize": r.page_text, "page_decode": r.decoded_page}
@@ -78,7 +78,13 @@ DOC_TEXTS = {"newline_normalize": r.newlines, "compress_newlines": r.compress_ne
 TRIMMING = (r.title_heading, r.heading_like, r.metadata_line, r.bracket_boundary, r.chapter_end)
 
 ENTRY_NAMES = ["word/document.xml", "xl/sharedStrings.xml", "xl/worksheets/sheet1.xml", "ppt/slides/slide1.xml", "ppt/slides/_rels/s.xml.rels", "ppt/notesSlides/n.xml", "content.xml", "OEBPS/a.XHTML", "toc.ncx", "mimetype", "../x", "/abs", "a\\b.xml", "a/../b", "a..b/c.html"]
-FONT_CASES = [("docx", '<w:rFonts w:ascii="Song" w:cs="Arial"/>'), ("xlsx", '<name val="Calibri"/>'), ("pptx", '<a:latin typeface="Arial"/>'), ("odt", '<s style:font-name="Song" style:name="P1"/>'), ("epub", "p{font-family: Song; color:red}"), ("txt", "plain")]
+#: format, entry, and the entry with its fonts masked
+FONT_CASES = [
+    ("docx", '<w:rFonts w:ascii="Song" w:cs="Arial"/>', '<w:rFonts w:ascii="__F_O_N_T_0__" w:cs="__F_O_N_T_1__"/>'), ("xlsx", '<name val="Calibri"/>', '<name val="__F_O_N_T_0__"/>'), ("pptx", '<a:latin typeface="Arial"/>', '<a:latin typeface="__F_O_N_T_0__"/>'),
+    ("odt", '<s style:font-name="Song" style:name="P1"/>', '<s style:font-name="__F_O_N_T_0__" style:name="__F_O_N_T_1__"/>'), ("epub", "p{font-family: Song; color:red}", "p{font-family: __F_O_N_T_0__; color:red}"), ("txt", "plain", "plain"),
+]
+#: Phrases of a large dictionary are one character of each of the first two, or of all three; they are put in brackets.
+PHRASE_LETTERS = ("的一是在不了有和人中大为上我以要他用生到", "的一是在不了有和人中大为上我以要他用生到第十章名作者前言卷回节三天地元黄宇宙洪", "的一是在不了有和人中大为上我以要他用生到第十章名作者前言卷回节三天地元黄宇宙洪荒日月盈昃冷，。！？：（）作者生到")
 
 
 def _count_rule(rule):
@@ -133,14 +139,18 @@ def _assemble(spark, d):
 
 def _dictionary(spark, phrases):
     rows = [("s2t", "汉", "漢"), ("s2t", "语", "語"), *(("s2t", a, b) for a, b in zip("这来个国时们书", "這來個國時們書", strict=True))]
-    return spark.createDataFrame(rows + ([("s2t", "来个", "来箇"), ("s2t", "这来个", "這回")] if phrases else []), "config string, src string, dst string")
+    if phrases:
+        first, second, third = (sorted(set(x)) for x in PHRASE_LETTERS)
+        made = {a + b + c for a in first for b in second for c in ["", *third]}
+        rows += [("s2t", "来个", "来箇"), ("s2t", "这来个", "這回"), *(("s2t", p, f"〔{p}〕") for p in sorted(made))]
+    return spark.createDataFrame(rows, "config string, src string, dst string")
 
 
 def _inputs(spark, values, schema):
     return spark.createDataFrame(values, schema)
 
 
-def _archives(spark, d):
+def _archives(spark):
     import io
     import zipfile
 
@@ -153,8 +163,13 @@ def _archives(spark, d):
         return (f"in.{fmt}", fmt, out.getvalue())
 
     rows = [made("docx", "word/document.xml", '<w:t w:ascii="汉">汉语</w:t>'), made("xlsx", "xl/worksheets/sheet1.xml", '<c t="inlineStr"><is><t>汉语</t></is></c><c><f>"汉语"</f></c>'), made("epub", "a.xhtml", "<p>汉语</p>"), ("bad.docx", "docx", b"no zip")]
-    done = office.convert_archives(_inputs(spark, rows, "path string, format string, content binary"), _dictionary(spark, False), "s2t", keep_font=True)
-    return done.select("path", "success", "converted_count")
+    rows.append(("wide.docx", *made("docx", "word/document.xml", "<w:t>汉</w:t>".encode("utf-16"))[1:]))
+    return office.convert_archives(_inputs(spark, rows, "path string, format string, content binary"), _dictionary(spark, False), "s2t", keep_font=True)
+
+
+def _archive_contents(spark, d):
+    e = archive_entries(_archives(spark))
+    return e.select("path", "entry_idx", "name", F.col("content").cast("string").alias("content"), F.col("error").isNotNull().alias("failed"))
 
 
 def _masked(spark, d):
@@ -162,10 +177,10 @@ def _masked(spark, d):
         import pyarrow as pa
 
         for b in batches:
-            out = [office.unmask_fonts(*office.mask_fonts(x, f)) for f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["format", "xml"])
+            masked = [office.mask_fonts(x, f) for f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([office.unmask_fonts(*m) for m in masked]), pa.array([m[0] for m in masked])], ["format", "xml", "masked"])
 
-    return _inputs(spark, FONT_CASES, "format string, xml string").mapInArrow(run, "format string, xml string")
+    return _inputs(spark, FONT_CASES, "format string, xml string, masked string").drop("masked").mapInArrow(run, "format string, xml string, masked string")
 
 
 def _segments(spark, d):
@@ -200,10 +215,18 @@ def registry() -> dict[str, tuple]:
     paths = ["/a/b.pdf", "x.tar.gz", "/a.b/c", "/a/.hid", "d.docx", "e.XLSX", "f.epub"]
     outs = lambda d: [r.text_output(d, "v"), r.text_output(d, "v", False), r.archive_output(d, "v", f"coalesce({r.archive_format(d, 'v')}, 'zip')")]
     q["out_name"] = (lambda s, d: _inputs(s, [(x,) for x in paths], "v string").select("v", *(F.expr(e).alias(n) for e, n in zip(outs(SPARK), ("converted", "extracted", "archive"), strict=True))), "SELECT v, {} AS converted, {} AS extracted, {} AS archive FROM {}".format(*outs(DUCK), values(paths)))
-    q["font_mask_roundtrip"] = (_masked, "SELECT * FROM (VALUES " + ", ".join(f"({DUCK.text(a)}, {DUCK.text(b)})" for a, b in FONT_CASES) + ") AS t(format, xml)")
-    q["archive_convert"] = (_archives, "SELECT * FROM (VALUES ('in.docx', true, CAST(1 AS INT)), ('in.xlsx', true, CAST(1 AS INT)), ('in.epub', true, CAST(1 AS INT)), ('bad.docx', false, CAST(0 AS INT))) AS t(path, success, converted_count)")
+    table = lambda rows, names: "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"CAST({x} AS INT)" if isinstance(x, int) else DUCK.text(x) for x in row) + ")" for row in rows) + f") AS t({names})"
+    q["font_mask_roundtrip"] = (_masked, table(FONT_CASES, "format, xml, masked"))
+    counted = [("in.docx", True, 1), ("in.xlsx", True, 1), ("in.epub", True, 1), ("bad.docx", False, 0), ("wide.docx", False, 0)]
+    q["archive_convert"] = (lambda s, d: _archives(s).select("path", "success", "converted_count"), table(counted, "path, success, converted_count"))
+    contents = [("in.docx", 1, "word/document.xml", '<w:t w:ascii="汉">漢語</w:t>'), ("in.xlsx", 1, "xl/worksheets/sheet1.xml", '<c t="inlineStr"><is><t>漢語</t></is></c><c><f>"汉语"</f></c>'), ("in.epub", 1, "a.xhtml", "<p>漢語</p>")]
+    whole = [(*c, False) for c in contents] + [(p, 0, "mimetype", "x", False) for p, *_ in contents] + [(p, None, None, None, True) for p, ok, _ in counted if not ok]
+    q["archive_contents"] = (_archive_contents, table(whole, "path, entry_idx, name, content, failed"))
+    said = lambda d: r.error_report(d, "path", "code")
+    q["error_report"] = (lambda s, d: s.range(9).selectExpr("id AS code", "concat('/a/', id, '.pdf') AS path").select("code", F.expr(said(SPARK)).alias("report")), f"SELECT code, {said(DUCK)} AS report FROM (SELECT code, '/a/' || code || '.pdf' AS path FROM (SELECT unnest(range(9)) AS code))")
     q["dict_convert_chars"] = (lambda s, d: convert(cjk_documents(s, d), _dictionary(s, False), "s2t"), f"SELECT doc_id, translate(text, '汉语这来个国时们书', '漢語這來個國時們書') AS text FROM (SELECT doc_id, string_agg(raw, chr(10) ORDER BY n) AS text FROM {LINES_SQL} GROUP BY doc_id)")
-    phrase = "replace(replace(text, '这来个', chr(1)), '来个', chr(2))"
+    large = "([{}][{}][{}]?)".format(*("".join(sorted(set(x))) for x in PHRASE_LETTERS))
+    phrase = f"replace(replace(regexp_replace(text, '{large}', '〔\\1〕', 'g'), '这来个', chr(1)), '来个', chr(2))"
     q["dict_convert_phrases"] = (lambda s, d: convert(cjk_documents(s, d), _dictionary(s, True), "s2t"), f"SELECT doc_id, replace(replace(translate({phrase}, '汉语这来个国时们书', '漢語這來個國時們書'), chr(1), '這回'), chr(2), '来箇') AS text FROM (SELECT doc_id, string_agg(raw, chr(10) ORDER BY n) AS text FROM {LINES_SQL} GROUP BY doc_id)")
     q["reflow_passthrough"] = (lambda s, d: reflow(_docs(s, d).filter(F.expr(latin(SPARK)))).select("doc_id", "text"), f"SELECT doc_id, text FROM documents WHERE {latin(DUCK)}")
     q["utf8_bom"] = (lambda s, d: _docs(s, d).select("doc_id", F.length(without_bom(F.concat(F.unhex(F.when(F.col("doc_id") % 2 == 0, "EFBBBF").otherwise("")), F.col("text").cast("binary")))).cast("bigint").alias("n")), "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -11,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.functions import rules
+from scrivener.functions import encodings, rules
 from scrivener.functions.dialect import SPARK
+from scrivener.operators.office import ARCHIVE_ERRORS, read_entry
 
-#: A PDF backend: bytes to (status, text) of each page in order; it raises PageError. None ships with this package.
+#: A PDF backend: bytes to (status, text) of each page in order; it raises PageError.
 Backend = Callable[[bytes], Iterator[tuple[str, str]]]
 
 
@@ -40,33 +40,45 @@ def without_bom(content: Column) -> Column:
 
 
 def decode(files: DataFrame, charset: str = "UTF-8", drop_bom: bool = False) -> DataFrame:
-    """(path, text); bad bytes become U+FFFD. UTF-8 is native, other charsets go through Python's codecs."""
-    if charset.upper().replace("_", "-") == "UTF-8":
-        content = without_bom(F.col("content")) if drop_bom else F.col("content")
+    """(path, text); bad bytes become U+FFFD. "UTF-8" keeps a byte order mark unless told otherwise; other labels drop that
+    of their charset. UTF-8 is native, other charsets go through Python's codecs; an unknown label fails here."""
+    codec = encodings.codec_of(charset)
+    if codec == encodings.UTF_8:
+        content = without_bom(F.col("content")) if drop_bom or charset != "UTF-8" else F.col("content")
         return files.select("path", F.make_valid_utf8(content.cast("string")).alias("text"))
-    codecs.lookup(charset)  # an unknown label fails here, on the driver
 
-    def run(batches):
-        for b in batches:
-            out = [None if c is None else c.decode(charset, "replace") for c in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["path", "text"])
+    def run(contents: pa.Array) -> pa.Array:
+        read = encodings.reader(codec)
+        return pa.array([None if c is None else read(c) for c in contents.to_pylist()], pa.string())
 
-    return files.select("path", "content").mapInArrow(run, "path string, text string")
+    return files.select("path", F.arrow_udf(run, "string")("content").alias("text"))
 
 
 def archive_entries(files: DataFrame) -> DataFrame:
-    """(path, entry_idx, name, is_dir, content) of zip archives; names with forward slashes."""
+    """(path, entry_idx, name, is_dir, content, error) of zip archives; names with forward slashes. An archive that can't be
+    read is one row with its error; an entry that can't is a row with its name and error."""
+
+    def entries(path, content):
+        try:
+            z = zipfile.ZipFile(io.BytesIO(content or b""))
+        except ARCHIVE_ERRORS as e:
+            yield path, None, None, None, None, str(e)
+            return
+        for i, e in enumerate(z.infolist()):
+            name = e.filename.replace("\\", "/")
+            try:
+                yield path, i, name, e.is_dir(), None if e.is_dir() else read_entry(z, e), None
+            except ARCHIVE_ERRORS as error:
+                yield path, i, name, e.is_dir(), None, str(error)
 
     def run(batches):
         for b in batches:
-            rows = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(path, i, e.filename.replace("\\", "/"), e.is_dir(), None if e.is_dir() else z.read(e)) for i, e in enumerate(z.infolist())]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "entry_idx", "name", "is_dir", "content"])
+                rows = list(entries(path, content))
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "entry_idx", "name", "is_dir", "content", "error"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, entry_idx int, name string, is_dir boolean, content binary")
+    return files.select("path", "content").mapInArrow(run, "path string, entry_idx int, name string, is_dir boolean, content binary, error string")
 
 
 def pdf_pages(files: DataFrame, backend: Backend, page_header: bool = False) -> DataFrame:
@@ -94,6 +106,6 @@ def page_column(page_header: bool) -> Column:
 
 
 def assemble(pages: DataFrame, key: str = "path") -> DataFrame:
-    """(key, n_pages, text): page texts joined in order."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "")
-    return pages.filter("text IS NOT NULL").groupBy(key).agg(F.count("*").alias("n_pages"), joined.alias("text"))
+    """(key, n_pages, text, error_code): page texts joined in order; a document that didn't open has 0 pages, null text and its code."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("page_no", "text")))), lambda p: p["text"]), "")
+    return pages.groupBy(key).agg(F.count("text").alias("n_pages"), F.when(F.count("text") > 0, joined).alias("text"), F.max("error_code").alias("error_code"))
