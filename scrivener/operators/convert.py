@@ -128,4 +128,4 @@ def convert(docs: DataFrame, dictionary: DataFrame, config: str, doc_id: str = "
         convert_one = converter()
         return pa.array([t if t is None else convert_one(t) for t in texts.to_pylist()], pa.string())
 
-    return kept.withColumn("text", F.arrow_udf(run, "string")("text"))
+    return kept.withColumn("text", F.arrow_udf(run, "string").asNondeterministic()("text"))

@@ -297,7 +297,8 @@ def _folded(page_header: bool, heading: str | None):
         rows = (None if t is None else [{"kind": kind, "text": s} for kind, s in fold(t, page_header, rx)] for t in texts.to_pylist())
         return pa.array(rows, kinds)
 
-    return F.arrow_udf(run, KINDS)
+    # as a deterministic one, Spark would run it again for filters and sizes that it infers
+    return F.arrow_udf(run, KINDS).asNondeterministic()
 
 
 def passes(text: str) -> F.Column:

@@ -51,7 +51,7 @@ def decode(files: DataFrame, charset: str = "UTF-8", drop_bom: bool = False) ->
         read = encodings.reader(codec)
         return pa.array([None if c is None else read(c) for c in contents.to_pylist()], pa.string())
 
-    return files.select("path", F.arrow_udf(run, "string")("content").alias("text"))
+    return files.select("path", F.arrow_udf(run, "string").asNondeterministic()("content").alias("text"))
 
 
 def archive_entries(files: DataFrame) -> DataFrame:
