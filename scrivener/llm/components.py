@@ -1,7 +1,8 @@
 """Connected components over edge tables by alternating large and small stars.
 
 Every round writes its edges to the shared folder and removes the round before; nothing but two numbers a round
-comes to the driver. A star's centre may have any number of neighbours: minima are aggregated before the shuffle.
+comes to the driver. A star's centre may have any number of neighbours: minima are aggregated before the shuffle, and
+in tables of over SPLIT edges the rows of a large star are split.
 """
 
 from __future__ import annotations
@@ -9,24 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import Written
+from scrivener.llm.common import Written, dealt, hot_keys
 
+SPLIT = 100_000
 
-def _minima(e: DataFrame) -> DataFrame:
-    return e.groupBy("u").agg(F.min("v").alias("m"))
 
+def _centred(e: DataFrame, split: bool) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m) with the least neighbour of u, and those alone."""
+    m = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if not split:
+        return e.join(m.drop("n"), "u"), m
+    hot = hot_keys(m, "u")
+    return dealt(e, hot, "u", F.xxhash64("v")).join(dealt(m.drop("n"), hot, "u"), ["u", "salt"]), m
 
-def _large(e: DataFrame) -> DataFrame:
+
+def _large(e: DataFrame, split: bool) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = _minima(both).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.join(m, F.col("u") == F.col("c")).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    near = _centred(both, split)[0].withColumn("m", F.least("u", "m"))
+    return near.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, split: bool) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    m = _minima(down).select(F.col("u").alias("c"), "m")
-    moved = down.join(m, F.col("u") == F.col("c")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(m.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
+    near, m = _centred(down, split)
+    moved = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(m.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was = mark(now.df)
     while was[0]:
-        after = Written(_small(_large(now.df)), "edges")
+        after = Written(_small(_large(now.df, split := was[0] > SPLIT), split), "edges")
         now.drop()
         now, old, was = after, was, mark(after.df)
         if was == old:

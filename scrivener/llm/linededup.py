@@ -13,8 +13,8 @@ equal runs hold the same one at the same place. Fingerprints are counted over th
 dropped. Around each place of the others, the windows that chose it extend the match to both sides; a window's name
 (two 64-bit hashes) joins its first place, and overlapping windows of later places make up the longest match, which
 is deleted. Counts and first places are aggregated before the shuffle, and no pairs of places are made. Joins carry
-(place, hash) rows; those of the HOT most frequent fingerprints are salted, so a line that a third of all documents
-share is dealt over SALTS tasks.
+(place, hash) rows; those of frequent fingerprints are split by their number, so a line that a third of all documents
+share is dealt over as many tasks as it takes.
 
 Defined results: null text counts as empty; a null id sorts first; rows that agree in id and text are one document
 stated twice and get the same result; a copy of an earlier document of RUN or more lines loses all its lines and
@@ -26,12 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import WORD, keyed, packed, written
+from scrivener.llm.common import WORD, dealt, few, hot_keys, keyed, packed, written
 
 #: Lines of a run, which is also the winnowing window: every run that long is found.
 RUN = 2
-#: Fingerprints whose rows are salted (a broadcast of so many numbers), and the salts. Any other has one in HOT rows at most.
-HOT, SALTS = 1000, 32
 #: Words of a line that is a run by itself, in the pipeline's stage.
 LONG = 50
 
@@ -75,17 +73,10 @@ def _repeated(windows: DataFrame, run: int) -> DataFrame:
     often = windows.groupBy("print").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("_id").alias("i0"), F.max("_id").alias("i1"), F.min("_key").alias("k0"), F.max("_key").alias("k1"))
     # a print of one place only is unique
     often = written(often.filter("n > 1 AND NOT (lo = hi AND i0 = i1 AND k0 = k1)").select("print", "n"), "prints")
-    hot = F.broadcast(often.orderBy(F.desc("n"), "print").limit(HOT).select(F.col("print").alias("_hot")))
-
-    def salted(df: DataFrame, salts: Column) -> DataFrame:
-        marked = df.join(hot, F.col("print") == F.col("_hot"), "left")
-        return marked.select(*df.columns, F.explode(F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(salts)).alias("salt"))
-
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    own = F.array(F.pmod(F.xxhash64("_id", "_key", "p"), F.lit(SALTS)).cast("int"))
-    live = salted(windows, own).join(salted(often.select("print"), every), ["print", "salt"])
+    hot = hot_keys(often, "print")
+    live = dealt(windows, hot, "print", F.xxhash64("_id", "_key", "p")).join(dealt(often.select("print"), hot, "print"), ["print", "salt"])
     first = live.groupBy("print", "a", "b").agg(F.min(F.struct("_id", "_key", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = live.join(salted(first, every), ["print", "a", "b", "salt"]).filter(F.struct("_id", "_key", "p") > F.col("first"))
+    later = live.join(dealt(first, hot, "print"), ["print", "a", "b", "salt"]).filter(F.struct("_id", "_key", "p") > F.col("first"))
     return later.select("_id", "_key", F.explode(F.sequence(F.col("p"), F.col("p") + run - 1)).alias("p"))
 
 

@@ -5,6 +5,7 @@ Distinct fingerprints are put under tries by an equal block of bits: of three bl
 differing bits. A trie is traversed against itself, node pair by node pair; the differing bits of a pair's prefixes
 add up and a pair over the error budget is left. A block that over GROUP fingerprints share is divided again by three
 blocks of its remaining bits, which loses no pair for the same reason and ends where too few bits remain for more.
+Rows of a frequent fingerprint (all texts without words have one) are split where components meet the documents.
 Each trie gives a spanning forest of its links, so the output follows the number of fingerprints, not of pairs.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero; a null id sorts after all
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import id_of, packed, text_of, written
+from scrivener.llm.common import dealt, hot_keys, id_of, packed, text_of, written
 from scrivener.llm.components import components
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
@@ -134,8 +135,8 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
         each = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct((F.col("part") * 3 + k).alias("part"), F.get(masks, F.col("part") * 3 + k).bitwiseAND(F.col("fp")).alias("key")))
         rows = source.select("fp", F.explode(each).alias("x")).select("x.part", "x.key", "fp")
         sizes = written(rows.groupBy("part", "key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        few = rows.join(sizes.filter(F.col("n") <= group), ["part", "key"], "left_semi")
-        tries = few.groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_forests, "u bigint, v bigint")
+        small = rows.join(sizes.filter(F.col("n") <= group), ["part", "key"], "left_semi")
+        tries = small.groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_forests, "u bigint, v bigint")
         found = tries if found is None else found.union(tries)
         hot = sizes.filter(F.col("n") > group).select("part", "key")
         # a group holds at most 2^(bits left) fingerprints, so the division ends
@@ -146,12 +147,13 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _key, fp, label, component): a row for each row of docs; component is the least id that links reach."""
     fps = written(fingerprints(docs, doc_id, text), "fingerprints")
-    first = written(fps.groupBy("fp").agg(F.min("_id").alias("id")), "distinct")
+    first = written(fps.groupBy("fp").agg(F.min("_id").alias("id"), F.count("*").alias("n")), "distinct")
     labels = components(links(first.select("fp")))
     joined = first.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
     least = joined.groupBy("label").agg(F.min("id").alias("component"))
-    per = joined.join(least, "label").select(F.col("fp").alias("f"), "label", "component")
-    return fps.join(per, F.col("fp") == F.col("f")).select("_id", "_key", "fp", "label", "component")
+    per = joined.join(least, "label").select("fp", "label", "component")
+    hot = hot_keys(first, "fp")
+    return dealt(fps, hot, "fp", F.xxhash64("_id", "_key")).join(dealt(per, hot, "fp"), ["fp", "salt"]).select("_id", "_key", "fp", "label", "component")
 
 
 def _real(c: str):
