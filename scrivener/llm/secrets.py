@@ -8,7 +8,8 @@ case and digits outside base spans) only where its value belongs to at most LIVE
 In `documents` the owner is `source`; the repository is (source, lang).
 
 Counts go through distinct (value, owner) and (value, repository) rows with partial aggregation, so a value that a
-third of all rows share sends one row a task. Only candidates are shuffled, never texts.
+third of all rows share sends one row a task; where counts meet the spans, rows of frequent values are split by their
+number. Only candidates are shuffled, never texts.
 
 Defined results: null text counts as empty; null owner or repository is an owner of its own; each input row gives a
 row, repeated rows and null ids included; an empty table gives an empty table; other columns don't matter.
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from scrivener.llm.common import keyed, real_id, written
+from scrivener.llm.common import dealt, hot_keys, keyed, real_id, written
 
 LIVE_OWNERS = 1
 LIVE_REPOS = 2
@@ -40,12 +41,14 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 def _found(kind: str) -> Column:
     """(gap before, match, value) of the leftmost non-overlapping matches, in order.
 
-    Every match begins where the one before ended, and the last takes the rest of the text, so a text is read once.
+    Every match begins where the one before ended, and the last takes the rest of the text, so a text is read in one go for
+    the gaps and one for the matches; values are taken out of the matches.
     """
     pattern, _, sure = KINDS[kind]
     at = lambda g: F.regexp_extract_all(F.col("_text"), F.lit(rf"(?s)\G(.*?)({pattern}|\z)"), F.lit(g))
-    parts = F.arrays_zip(at(1).alias("gap"), at(2).alias("all"), at(3).alias("value"))
-    one = F.transform(F.filter(parts, lambda x: x["value"] != ""), lambda x: F.struct(F.lit(RANK[kind]).alias("kind"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("len"), x["value"].alias("value")))
+    parts = F.arrays_zip(at(1).alias("gap"), at(2).alias("all"))
+    value = lambda x: F.regexp_extract(x["all"], pattern, 1)
+    one = F.transform(F.filter(parts, lambda x: x["all"] != ""), lambda x: F.struct(F.lit(RANK[kind]).alias("kind"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("len"), value(x).alias("value")))
     return F.when(F.col("_text").rlike(sure), one)
 
 
@@ -76,9 +79,12 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
     strong = F.col("kind") < len(BASE)
     placed = placed.withColumns({"_before": F.max(F.when(strong, F.col("end"))).over(b), "_after": F.min(F.when(strong, F.col("start"))).over(a)})
     placed = placed.filter(strong | ((F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce("_after", F.col("end")) >= F.col("end")))).drop("_before", "_after")
-    valued = found.filter("kind IS NOT NULL").select(F.xxhash64("value").alias("v1"), F.xxhash64(F.lit("value"), "value").alias("v2"), "_owner", "_repo")
-    held = valued.distinct().groupBy("v1", "v2", "_owner").agg(F.count("*").alias("r")).groupBy("v1", "v2").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"))
-    spans = placed.withColumns({"v1": F.xxhash64("value"), "v2": F.xxhash64(F.lit("value"), "value")}).join(held, ["v1", "v2"])
+    names = lambda df: df.withColumns({"v1": F.xxhash64("value"), "v2": F.xxhash64(F.lit("value"), "value")})
+    valued = names(found.filter("kind IS NOT NULL")).groupBy("v1", "v2", "_owner", "_repo").agg(F.count("*").alias("n"))
+    owned = valued.groupBy("v1", "v2", "_owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"))
+    held = written(owned.groupBy("v1", "v2").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repos"), F.sum("n").alias("n")), "held")
+    hot = hot_keys(held.select("v1", "n"), "v1")
+    spans = dealt(names(placed), hot, "v1", F.xxhash64("_id", "_key", "start")).join(dealt(held.drop("n"), hot, "v1"), ["v1", "v2", "salt"])
     spans = spans.withColumn("live", (F.col("n_owners") <= LIVE_OWNERS) & (F.col("n_repos") <= LIVE_REPOS)).filter(strong | F.col("live"))
     cols = ("_id", "_key", "kind", "start", "end", "value", "n_owners", "n_repos", "live")
     none = copies.select("_id", "_key", *(F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in cols[2:]), "copies")
@@ -115,7 +121,7 @@ p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY r, kind ORDER BY
 c AS (SELECT r, kind, rank, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, v FROM p WHERE length(v) >= least
       AND (rank < 3 OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')))),
 x AS (SELECT * FROM c WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM c AS b WHERE b.r = c.r AND b.rank < 3 AND b.s < c.e AND b.e > c.s)),
-h AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT source || '/' || lang) AS repos FROM f JOIN t USING (r) GROUP BY v),
+h AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), coalesce(lang, chr(0)))) AS repos FROM f JOIN t USING (r) GROUP BY v),
 k AS (SELECT x.*, owners <= {LIVE_OWNERS} AND repos <= {LIVE_REPOS} AS live FROM x JOIN h USING (v)),
 z AS (SELECT r, rank, live, s, kind || ':' || s || ':' || e AS one FROM k WHERE rank < 3 OR live)
 SELECT t.doc_id, CAST(count(*) FILTER (WHERE rank = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (WHERE rank = 1) AS BIGINT) AS n_access,
