@@ -1,23 +1,29 @@
 """Chat formatting: tool calls linked with their results, ordered, validated and written as canonical JSON.
 
-Calls and results are tables of messages with an identifier. They are hash-joined on (conversation, identifier);
-a call may name calls that must come before it, and calls are put in an order that respects this (by time wherever
-time already does; else by removing ready calls round by round, which also finds cycles). Arguments are validated
-against JSON schemas, and each call with its result becomes one line of canonical JSON: keys sorted, no spaces,
-non-ASCII kept.
+Calls and results are tables of messages with an identifier. They are hash-joined on (conversation, identifier); a call
+may name calls that must come before it, and calls are put in a topological order: by time in conversations where time
+respects every reference, else by depth (the longest chain of references below a call), then by time. Arguments are
+validated against JSON schemas, and each call with its result becomes one line of canonical JSON: keys sorted, no
+spaces, non-ASCII kept.
 
-A conversation is never gathered: every row is one call, so one that holds a third of all messages costs no more than
-others, and places in it are counted in two levels.
+Only the references of conversations that time doesn't order are sorted at all. A conversation of at most GROUP of them
+is sorted by one task, which gets identifiers alone. In larger ones depths are found together for all: where no call
+names more than one other, by jumping along references over twice as many each round; else by removing the calls that
+wait for nothing, round by round, as many rounds as the longest chain. Texts of a conversation are never gathered:
+every row is one call, so one that holds a third of all messages costs no more than others, and places in it are counted
+in two levels.
 
 Defined results: of calls (or results) that share conversation and identifier the least (turn, payload) counts and
-`copies` says how many there were; a result without a call has status "orphan", a call without a result "unanswered";
-calls on a cycle or behind one are invalid and come last; null ids, turns, roles and texts are values of their own
-(written as "-", or as null); an empty table gives an empty table; other columns don't matter.
+`copies` says how many there were; a reference to an identifier that has no call is none; a result without a call has
+status "orphan", a call without a result "unanswered"; calls on a cycle or behind one are invalid and come last; null ids,
+turns, roles and texts are values of their own (written as "-", or as null); an empty table gives an empty table; other
+columns don't matter.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,6 +33,8 @@ from scrivener.llm.common import LEAST_ID, Written, real_id
 
 #: Turns in a counting bucket.
 SPAN = 64
+#: References of a conversation that one task sorts.
+GROUP = 50_000
 LAST = 2**31 - 1
 
 SCHEMAS = {
@@ -100,28 +108,80 @@ def _written(schemas: dict):
     return run
 
 
+def depths(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """Depth (1 without references) of every call that edges (own, dep) name; LAST on or behind a cycle."""
+    waits, behind = Counter(), defaultdict(list)
+    for own, dep in edges:
+        waits[own] += 1
+        behind[dep].append(own)
+    found = {dep: 1 for dep in behind if dep not in waits}
+    ready = list(found)
+    for dep in ready:
+        for own in behind.get(dep, ()):
+            found[own] = max(found.get(own, 1), found[dep] + 1)
+            waits[own] -= 1
+            if not waits[own]:
+                ready.append(own)
+    done = set(ready)
+    return {c: found[c] if c in done else LAST for c in {*waits, *behind}}
+
+
+def _sorted(batches):
+    for b in batches:
+        for conv, edges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = depths([(e["own"], e["dep"]) for e in edges])
+            yield pa.RecordBatch.from_arrays([pa.array([conv] * len(found), pa.int64()), pa.array(list(found), pa.string()), pa.array(found.values(), pa.int32())], ["_conv", "call_id", "level"])
+
+
+def _jumped(edges: DataFrame) -> DataFrame:
+    """(_conv, call_id, level) where every call has one reference: each round a call's reference becomes that of its
+    reference, until it is one that has none."""
+    now, n, reach = Written(edges.select("_conv", "own", F.col("dep").alias("far"), F.lit(1).alias("far_by")), "jumps"), edges.count(), 1
+    while reach <= 2 * n:
+        next_ = now.df.select("_conv", F.col("own").alias("far"), F.col("far").alias("further"), F.col("far_by").alias("more"))
+        joined = now.df.join(next_, ["_conv", "far"], "left")
+        after = Written(joined.select("_conv", "own", F.coalesce("further", "far").alias("far"), F.least(F.col("far_by") + F.coalesce("more", F.lit(0)), F.lit(LAST // 2)).alias("far_by")), "jumps")
+        now.drop()
+        now, reach = after, 2 * reach
+    # what still points at a call with a reference goes round a cycle
+    turning = now.df.join(now.df.select("_conv", F.col("own").alias("far")), ["_conv", "far"], "left_semi").select("_conv", "own").withColumn("_turns", F.lit(True))
+    own = now.df.join(turning, ["_conv", "own"], "left").select("_conv", F.col("own").alias("call_id"), F.when(F.col("_turns"), F.lit(LAST)).otherwise(F.col("far_by") + 1).alias("level"))
+    return own
+
+
+def _removed(edges: DataFrame) -> DataFrame:
+    """(_conv, call_id, level): round by round the calls that wait for nothing go."""
+    now, level, waiting = Written(edges, "open"), 1, None
+    left = now.df.count()
+    while True:
+        blocked = now.df.select("_conv", F.col("own").alias("dep")).distinct()
+        after = Written(now.df.join(blocked, ["_conv", "dep"], "left_semi").select("_conv", "own", "dep"), "open")
+        rest = after.df.count()
+        # a call whose references all go now comes right after them
+        here = now.df.select("_conv", F.col("own").alias("call_id")).distinct().withColumn("level", F.lit(LAST if rest == left else level + 1))
+        waiting = here if waiting is None else waiting.union(here)
+        if rest in (0, left):
+            return waiting.groupBy("_conv", "call_id").agg(F.max("level").alias("level"))
+        now, left, level = after, rest, level + 1
+
+
 def _levels(calls: DataFrame) -> DataFrame:
-    """(_conv, call_id, level): 0 wherever time respects all references; else rounds of removal, LAST on or behind cycles."""
+    """(_conv, call_id, level): 0 wherever time respects all references of a conversation; else depths, LAST on or behind cycles."""
     ref = calls.select("_conv", F.col("call_id").alias("own"), F.col("turn").alias("own_turn"), F.explode("after").alias("call_id"))
     edges = Written(ref.join(calls.select("_conv", "call_id", "turn"), ["_conv", "call_id"]).select("_conv", "own", "own_turn", F.col("call_id").alias("dep"), "turn").distinct(), "references")
-    late = edges.df.filter(F.struct(F.col("turn"), F.col("dep")) >= F.struct(F.col("own_turn"), F.col("own"))).select("_conv").distinct()
-    if late.isEmpty():
-        return calls.select("_conv", "call_id", F.lit(0).alias("level"))
-    convs = Written(late, "unordered")
-    nodes = Written(calls.select("_conv", "call_id").join(convs.df, "_conv", "left_semi"), "waiting")
-    open_ = Written(edges.df.join(convs.df, "_conv", "left_semi").select("_conv", F.col("own").alias("call_id"), "dep"), "open")
-    done, level = calls.select("_conv", "call_id").join(convs.df, "_conv", "left_anti").withColumn("level", F.lit(0)), 1
-    while True:
-        ready = Written(nodes.df.join(open_.df, ["_conv", "call_id"], "left_anti"), "ready")
-        if ready.df.isEmpty():
-            break
-        done = done.union(ready.df.withColumn("level", F.lit(level)))
-        rest = Written(nodes.df.join(ready.df, ["_conv", "call_id"], "left_anti"), "waiting")
-        left = Written(open_.df.join(ready.df.select("_conv", F.col("call_id").alias("dep")), ["_conv", "dep"], "left_anti").select("_conv", "call_id", "dep"), "open")
-        nodes.drop()
-        open_.drop()
-        nodes, open_, level = rest, left, level + 1
-    return done.union(nodes.df.withColumn("level", F.lit(LAST)))
+    late = F.struct(F.col("turn"), F.col("dep")) >= F.struct(F.col("own_turn"), F.col("own"))
+    many = edges.df.groupBy("_conv", "own").agg(F.count("*").alias("k"), F.max(late).alias("late"))
+    convs = Written(many.groupBy("_conv").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max("late").alias("late")).filter("late").drop("late"), "unordered")
+    open_ = edges.df.select("_conv", "own", "dep")
+    of = lambda cond: open_.join(convs.df.filter(cond).select("_conv"), "_conv", "left_semi")
+    small = of(F.col("n") <= GROUP).groupBy("_conv").agg(F.collect_list(F.struct("own", "dep")).alias("edges"))
+    found = small.mapInArrow(_sorted, "_conv bigint, call_id string, level int")
+    for cond, way in ((F.col("most") == 1, _jumped), (F.col("most") > 1, _removed)):
+        large = (F.col("n") > GROUP) & cond
+        if not convs.df.filter(large).isEmpty():
+            found = found.union(way(of(large)))
+    every = calls.select("_conv", "call_id").join(convs.df.select("_conv", F.lit(1).alias("_late")), "_conv", "left").join(found, ["_conv", "call_id"], "left")
+    return every.select("_conv", "call_id", F.coalesce("level", "_late", F.lit(0)).alias("level"))
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -149,14 +209,21 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS)
 
 def from_conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of turns: a user's turn asks, a system turn configures, an assistant's turn t is the
-    result for the call of turn t - 1; a call comes after the call two turns before."""
+    result for the call of turn t - 1. Of two calls that are two turns apart the shorter waits for the longer, whose text it
+    builds on, and of equally long ones the second for the first (of copies of a call the longest text counts)."""
     conv = F.coalesce(messages["conv_id"].cast("bigint"), F.lit(LEAST_ID)).alias("_conv")
     turn = F.coalesce(messages["turn"].cast("bigint"), F.lit(-1))
-    named = lambda t: F.concat_ws(":", F.coalesce(messages["conv_id"].cast("string"), F.lit("-")), t.cast("string"))
-    text = F.when(messages["text"].isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.struct(messages["text"].cast("string").alias("t"))), r'^\{"t":(?s)(.*)\}$', "$1"))
+    prefix = F.coalesce(messages["conv_id"].cast("string"), F.lit("-"))
+    named = lambda p, t: F.concat_ws(":", p, t.cast("string"))
+    said = messages["text"].cast("string")
+    text = F.when(said.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.struct(said.alias("t"))), r'^\{"t":(?s)(.*)\}$', "$1"))
     arguments = F.concat(F.lit('{"text":'), text, F.lit(',"turn":'), turn.cast("string"), F.lit("}"))
-    calls = messages.filter("coalesce(role, '') <> 'assistant'").select(conv, named(turn).alias("call_id"), turn.alias("turn"), F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"), arguments.alias("arguments"), F.array(named(turn - 2)).alias("after"))
-    results = messages.filter("role = 'assistant'").select(conv, named(turn - 1).alias("call_id"), turn.alias("turn"), messages["text"].cast("string").alias("content"))
+    calls = messages.filter("coalesce(role, '') <> 'assistant'").select(conv, prefix.alias("_prefix"), named(prefix, turn).alias("call_id"), turn.alias("turn"), F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"), arguments.alias("arguments"), F.coalesce(F.length(said), F.lit(0)).alias("_n"))
+    at = lambda shift, name: F.struct((F.col("turn") + shift).alias("turn"), *(F.when(F.lit(c == name), F.col("_n")).alias(c) for c in ("own", "before", "behind")))
+    lengths = calls.select("_conv", F.explode(F.array(at(0, "own"), at(2, "before"), at(-2, "behind"))).alias("x")).groupBy("_conv", "x.turn").agg(*(F.max(f"x.{c}").alias(c) for c in ("own", "before", "behind")))
+    waits = F.array_compact(F.array(F.when(F.col("own") <= F.col("before"), named(F.col("_prefix"), F.col("turn") - 2)), F.when(F.col("own") < F.col("behind"), named(F.col("_prefix"), F.col("turn") + 2))))
+    calls = calls.join(lengths, ["_conv", "turn"]).select("_conv", "call_id", "turn", "name", "arguments", waits.alias("after"))
+    results = messages.filter("role = 'assistant'").select(conv, named(prefix, turn - 1).alias("call_id"), turn.alias("turn"), said.alias("content"))
     return calls, results
 
 
@@ -169,19 +236,27 @@ ORACLE = """
 WITH m AS (SELECT coalesce(CAST(conv_id AS VARCHAR), '-') AS cs, conv_id, coalesce(turn, -1) AS turn, role, text FROM conversations),
 c AS (SELECT conv_id, cs || ':' || turn AS call_id, turn, CASE WHEN role = 'system' THEN 'configure' ELSE 'ask' END AS name, text FROM m WHERE coalesce(role, '') <> 'assistant'),
 r AS (SELECT conv_id, cs || ':' || (turn - 1) AS call_id, turn, text FROM m WHERE role = 'assistant'),
-c1 AS (SELECT conv_id, call_id, turn, name, text, n FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name, text) AS k FROM c WINDOW w AS (PARTITION BY conv_id, call_id)) WHERE k = 1),
-r1 AS (SELECT conv_id, call_id, turn, text, n FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, text) AS k FROM r WINDOW w AS (PARTITION BY conv_id, call_id)) WHERE k = 1),
+c1 AS (SELECT conv_id, call_id, turn, name, text, n, len FROM (SELECT *, count(*) OVER w AS n, max(coalesce(length(text), 0)) OVER w AS len,
+       row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name, text IS NULL, text) AS k FROM c WINDOW w AS (PARTITION BY conv_id, call_id)) WHERE k = 1),
+r1 AS (SELECT conv_id, call_id, turn, text, n FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, text NULLS FIRST) AS k FROM r WINDOW w AS (PARTITION BY conv_id, call_id)) WHERE k = 1),
+e AS (SELECT *, turn % 2 AS odd, coalesce(lag(turn) OVER w = turn - 2 AND len <= lag(len) OVER w, false) AS up, coalesce(lead(turn) OVER w = turn + 2 AND len < lead(len) OVER w, false) AS down
+      FROM c1 WINDOW w AS (PARTITION BY conv_id, abs(turn % 2) ORDER BY turn)),
+-- a run of calls that each wait for the one before (or behind): depth is the place in the longer of the two
+g AS (SELECT *, count(*) FILTER (WHERE NOT up) OVER (PARTITION BY conv_id, abs(odd) ORDER BY turn) AS ups, count(*) FILTER (WHERE NOT down) OVER (PARTITION BY conv_id, abs(odd) ORDER BY turn DESC) AS downs,
+      bool_or(down) OVER (PARTITION BY conv_id) AS late FROM e),
+d AS (SELECT conv_id, call_id, CASE WHEN late THEN greatest(row_number() OVER (PARTITION BY conv_id, abs(odd), ups ORDER BY turn), row_number() OVER (PARTITION BY conv_id, abs(odd), downs ORDER BY turn DESC)) ELSE 0 END AS level FROM g),
 j AS (SELECT coalesce(c1.conv_id, r1.conv_id) AS conv_id, coalesce(c1.call_id, r1.call_id) AS call_id, coalesce(c1.turn, r1.turn) AS turn, c1.turn AS ct,
              c1.name, c1.text AS ask, r1.text AS answer, c1.n AS cn, r1.n AS rn
-      FROM c1 FULL JOIN r1 ON c1.conv_id IS NOT DISTINCT FROM r1.conv_id AND c1.call_id = r1.call_id)
-SELECT conv_id, call_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, call_id) AS BIGINT) AS position, name,
+      FROM c1 FULL JOIN r1 ON c1.conv_id IS NOT DISTINCT FROM r1.conv_id AND c1.call_id = r1.call_id),
+l AS (SELECT j.*, coalesce(level, 0) AS level FROM j LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM j.conv_id AND d.call_id = j.call_id)
+SELECT conv_id, call_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) AS BIGINT) AS position, name,
        CASE WHEN cn IS NULL THEN 'orphan' WHEN rn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
        CAST(greatest(coalesce(cn, 0), coalesce(rn, 0)) AS BIGINT) AS copies,
-       cn IS NOT NULL AND length(ask) > 0 AND ct >= 0 AND (name = 'ask' OR ct = 0) AS valid,
-       CASE WHEN cn IS NULL THEN 'no call' ELSE concat_ws(';', CASE WHEN length(ask) = 0 THEN '$.text: too short' END,
+       coalesce(cn IS NOT NULL AND length(ask) > 0 AND ct >= 0 AND (name = 'ask' OR ct = 0), false) AS valid,
+       CASE WHEN cn IS NULL THEN 'no call' ELSE concat_ws(';', CASE WHEN ask IS NULL THEN '$.text: not string' WHEN length(ask) = 0 THEN '$.text: too short' END,
             CASE WHEN ct < 0 OR (name = 'configure' AND ct > 0) THEN '$.turn: out of bounds' END) END AS errors,
-       '{"arguments":' || CASE WHEN cn IS NULL THEN 'null' ELSE '{"text":' || CAST(to_json(ask) AS VARCHAR) || ',"turn":' || ct || '}' END
+       '{"arguments":' || CASE WHEN cn IS NULL THEN 'null' ELSE '{"text":' || coalesce(CAST(to_json(ask) AS VARCHAR), 'null') || ',"turn":' || ct || '}' END
        || ',"id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null')
        || ',"result":' || coalesce(CAST(to_json(answer) AS VARCHAR), 'null') || '}' AS json
-FROM j
+FROM l
 """
