@@ -7,8 +7,10 @@ contains the item lacks fewer than m of its shingles, so it holds at least one o
 are scanned once for these hashes, whole, by numpy over the bytes of a batch; a document that holds one is a candidate
 for the item and is verified on the shingles themselves.
 
-Items come to the driver in blocks of at most BLOCK characters, and each block is a pass over the documents: a fixed
-query set in blocks, its size checked. Nothing is shuffled.
+Items come to the driver in blocks of at most BLOCK characters (an item longer than that is a block), and each block is a
+pass over the documents: a fixed query set in blocks. One block's index is held at a time: where there are several, what a
+pass finds is written before the next block is read. Nothing is shuffled; where documents are to be taken out, the found
+ones are broadcast if they are few (counted).
 
 Defined results: null texts count as empty; an item without words is contained in nothing; an item of fewer than
 SHINGLE words is one shingle of its own length; repeated rows give repeated results; null ids pass through; empty
@@ -19,13 +21,14 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import LEAST_ID, id_of, packed, text_of
+from scrivener.llm.common import LEAST_ID, few, id_of, packed, text_of, written
 from scrivener.llm.hashing import Powers, mix, word_hashes
 
 SHINGLE, CONTAINMENT = 5, 0.8
@@ -152,10 +155,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, item_id: str, tex
     schema = "doc_id bigint, _key bigint, item_id bigint, n_shingles bigint, n_found bigint"
     t = text_of(docs, text)
     source = docs.select(id_of(docs, doc_id).alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("_key"))
-    found = docs.sparkSession.createDataFrame([], schema)
+    found, now = [], None
     for rows in _blocks(benchmark, item_id, text, block):
-        found = found.union(source.mapInArrow(_search(Index(rows)), schema))
-    return found
+        if now is not None:
+            found.append(written(now, "contained"))
+        now = source.mapInArrow(_search(Index(rows)), schema)
+    if now is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.union, [*found, written(now, "contained")]) if found else now
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -165,7 +172,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that contain a benchmark item."""
-    bad = _found(docs, benchmark, doc_id, "item_id", "text", BLOCK).select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_bi"), F.col("_key").alias("_bk")).distinct()
+    bad = _found(docs, benchmark, doc_id, "item_id", "text", BLOCK).select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("_bi"), F.col("_key").alias("_bk"))
+    bad = few(written(bad.distinct(), "contaminated"))
     rows = docs.select(packed(docs), F.coalesce(id_of(docs, doc_id), F.lit(LEAST_ID)).alias("_id"), F.xxhash64(text_of(docs, text)).alias("_key"))
     return rows.join(bad, (F.col("_id") == F.col("_bi")) & (F.col("_key") == F.col("_bk")), "left_anti").select("_row.*")
 
