@@ -8,11 +8,15 @@ corpus, so every word of the corpus has a probability of its own and those of al
 Words are lower-cased (A-Z).
 
 What is gathered follows the corpus: word counts of all documents (summed before the shuffle), and training over all
-words of all documents. Each task trains its own copy of the network from the same start over its documents and
-returns its parameters with its number of words; they are averaged, weighted by words, in tasks that hold one sum at
-a time. Shares of the words above a count that at most SHARED words reach are a table that every task holds; those
-of all others, as many as the corpus has, are joined by word. Only that table, a histogram of counts and the averaged
-network come to the driver.
+words of all documents. Texts are read twice, for counts and to be written as ids (2 bytes a word) with their shares.
+Training goes in ROUNDS. Documents are dealt by a hash to shards of about SHARD words and, within them, to rounds. In a
+round every shard trains a copy of the network over its documents in order of id, and the copies are averaged, weighted by
+words, in order of shard; the next round goes on from there. Neither documents nor sums depend on how the table is
+partitioned, so the scores don't. Averages are taken in steps of FAN copies a task; one network comes to the driver.
+
+Shares of the words above a count that at most SHARED words reach are a table that every task holds; those of all
+others, as many as the corpus has, are joined by word. Only that table, a histogram of counts and the averaged network
+come to the driver.
 
 Defined results: null text counts as empty; a text without words has score 0 and a null mean; repeated rows give
 repeated results; null ids pass through; an empty table gives an empty table; other columns don't matter.
@@ -20,12 +24,14 @@ repeated results; null ids pass through; an empty table gives an empty table; ot
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import id_of, keyed, text_of, written
+from scrivener.llm.common import Written, id_of, keyed, text_of, written
 from scrivener.llm.hashing import Powers, word_hashes
 
 WORDS, CLASSES, WIDTH, SIDE = 448, 16, 16, 2
@@ -34,15 +40,16 @@ IDS = 512
 #: Words of buckets whose shares every task holds (16 bytes each); the shares of the others are joined.
 SHARED = 1_000_000
 BATCH, RATE = 4096, 0.1
-#: Bytes of documents handled at once; a longer document is handled alone.
-CHUNK = 1_000_000
+ROUNDS, SHARD, FAN = 2, 2_000_000, 64
+#: Bytes of documents handled at once, and words; a longer document is handled alone.
+CHUNK, MANY = 1_000_000, 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Vocabulary:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
         """hashes: most frequent first. Ids are dealt to classes so that classes are of like weight."""
-        self.held, self.logs = np.zeros(0, np.uint64), np.zeros(0)
+        self.held, self.logs, self.total = np.zeros(0, np.uint64), np.zeros(0), total
         self.order = np.argsort(hashes, kind="stable")
         self.sorted, self.known = hashes[self.order], len(hashes)
         rest = max(total - int(counts.sum()), 1)
@@ -196,68 +203,98 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def _trained(vocabulary: Vocabulary):
+ENCODED = "x struct<doc_id: bigint, _id: bigint, _key: bigint>, row bigint, ids binary, share double, rare array<struct<word: bigint, n: bigint>>"
+
+
+def _encoded(vocabulary: Vocabulary):
+    """ids (2 bytes each), the sum of the held log shares, and the words whose share is to be joined."""
+
     def run(batches):
-        powers, net, seen, total = Powers(), Network(vocabulary.frequency), {}, 0
+        powers = Powers()
         for b in batches:
-            texts = _texts(b, 0)
+            texts = _texts(b, 2)
             for i, j in _groups(texts):
                 words, owner = _words(texts[i:j], powers)
                 ids = vocabulary.ids(words)
+                share, at = vocabulary.shares(words, ids)
+                edges = np.searchsorted(owner, np.arange(j - i + 1))
+                flat = ids.astype("<u2")
+                # equal unheld words of a document stand once, with their number
+                order = at[np.lexsort((words[at], owner[at]))]
+                w, o = words[order], owner[order]
+                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(w)), bool), (w[1:] != w[:-1]) | (o[1:] != o[:-1])]))
+                rare = pa.StructArray.from_arrays([pa.array(w[first].view(np.int64)), pa.array(np.diff(np.append(first, len(w))))], ["word", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(o[first], np.arange(j - i + 1)).astype(np.int32)), rare)
+                own = pa.array([flat[p:q].tobytes() for p, q in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+                sums = pa.array(np.bincount(owner, share, j - i).astype(float))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), own, sums, lists], ["x", "row", "ids", "share", "rare"])
+
+    return run
+
+
+def _gathered_ids(rows):
+    """(first row, rows, ids, row of each id) of consecutive documents of about MANY words; rows are their ids as bytes."""
+    at, held, size = 0, [], 0
+
+    def made():
+        return at, len(held), np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+
+    for r, x in enumerate(rows):
+        held.append(np.frombuffer(x, "<u2").astype(np.int64))
+        size += len(held[-1])
+        if size >= MANY:
+            yield made()
+            at, held, size = r + 1, [], 0
+    if held:
+        yield made()
+
+
+def _trained(vocabulary: Vocabulary, flat: np.ndarray | None):
+    """(shard, n, net) of the shards of a partition, which come one after the other, each in the order of its documents."""
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                yield from zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True)
+
+        for shard, group in groupby(rows(), key=lambda r: r[0]):
+            net, seen, total = Network(vocabulary.frequency), {}, 0
+            if flat is not None:
+                net.load(flat)
+            for _, _, ids, owner in _gathered_ids(x for _, x in group):
                 around = contexts(ids, owner)
                 for k in range(0, len(ids), BATCH):
                     net.train(ids[k : k + BATCH], around[k : k + BATCH], seen)
                 total += len(ids)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([net.flat().astype("<f4").tobytes()], pa.binary())], ["n", "net"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([total], pa.int64()), pa.array([net.flat().astype("<f8").tobytes()], pa.binary())], ["shard", "n", "net"])
 
     return run
 
 
 def _averaged(batches):
-    total, n = None, 0
-    for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            v = np.frombuffer(x, "<f4").astype(np.float64) * k
-            total, n = v if total is None else total + v, n + k
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "net"])
+    """(shard div FAN, n, net) of the shards of a partition, which come in order."""
 
-
-def _scored(vocabulary: Vocabulary, flat: np.ndarray):
-    def run(batches):
-        powers, net = Powers(), Network(vocabulary.frequency).load(flat)
+    def rows():
         for b in batches:
-            texts = _texts(b, 1)
-            n, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for i, j in _groups(texts):
-                words, owner = _words(texts[i:j], powers)
-                ids = vocabulary.ids(words)
-                around = contexts(ids, owner)
-                each = [net.log_probability(ids[k : k + BATCH], around[k : k + BATCH]) for k in range(0, len(ids), BATCH)]
-                n[i:j] = np.bincount(owner, minlength=j - i)
-                score[i:j] = np.bincount(owner, np.concatenate([np.zeros(0), *each]) + vocabulary.shares(words, ids)[0], j - i)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(score)], ["doc_id", "n_words", "log_likelihood"])
-
-    return run
+            yield from zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
 
+    for group, members in groupby(rows(), key=lambda r: r[0] // FAN):
+        total, n = 0.0, 0
+        for _, k, net in members:
+            total, n = total + np.frombuffer(net, "<f8") * k, n + k
+        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], ["shard", "n", "net"])
 
-def _unheld(vocabulary: Vocabulary):
-    """(_id, _key, _r, word, n) of the words whose share is to be joined."""
 
+def _scored(vocabulary: Vocabulary, flat: np.ndarray):
     def run(batches):
-        powers = Powers()
+        net = Network(vocabulary.frequency).load(flat)
         for b in batches:
-            texts = _texts(b, 3)
-            for i, j in _groups(texts):
-                words, owner = _words(texts[i:j], powers)
-                at = vocabulary.shares(words, vocabulary.ids(words))[1]
-                order = at[np.lexsort((words[at], owner[at]))]
-                w, o = words[order], owner[order]
-                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(w)), bool), (w[1:] != w[:-1]) | (o[1:] != o[:-1])]))
-                rows = pa.array(o[first] + i)
-                n = np.diff(np.append(first, len(w)))
-                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in range(3)), pa.array(w[first].view(np.int64)), pa.array(n)], ["_id", "_key", "_r", "word", "n"])
+            for at, size, ids, owner in _gathered_ids(x.as_py() for x in b.column(2)):
+                around = contexts(ids, owner)
+                each = [net.log_probability(ids[k : k + BATCH], around[k : k + BATCH]) for k in range(0, len(ids), BATCH)]
+                n = np.bincount(owner, minlength=size)
+                own = b.column(3).slice(at, size).to_numpy(zero_copy_only=False) + np.bincount(owner, np.concatenate([np.zeros(0), *each]), size)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, size), b.column(1).slice(at, size), pa.array(n, pa.int64()), pa.array(own, pa.float64())], ["x", "row", "n_words", "log_likelihood"])
 
     return run
 
@@ -298,32 +335,43 @@ def vocabulary_of(texts: DataFrame) -> Vocabulary:
     return _gathered(texts)[0]
 
 
-def network_of(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Parameters averaged over the tasks' networks."""
-    nets = texts.mapInArrow(_trained(vocabulary), "n bigint, net binary")
-    few = max(1, round(texts.rdd.getNumPartitions() ** 0.5))
-    rows = nets.repartition(few).mapInArrow(_averaged, "n bigint, net binary").toLocalIterator()
-    total, n = None, 0
-    for r in rows:
-        v = np.frombuffer(r["net"], "<f4").astype(np.float64) * r["n"]
-        total, n = v if total is None else total + v, n + r["n"]
-    return total / n if n else Network(vocabulary.frequency).flat()
+def encoded(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of docs as ids; to be written, as it numbers its rows."""
+    i, k, t = keyed(docs, doc_id, text)
+    rows = docs.select(F.struct(id_of(docs, doc_id).alias("doc_id"), i, k).alias("x"), F.monotonically_increasing_id().alias("row"), t)
+    return rows.mapInArrow(_encoded(vocabulary), ENCODED)
+
+
+def network_of(ids: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Parameters after ROUNDS of training; ids as written from encoded()."""
+    shards = -(-vocabulary.total // SHARD) or 1
+    schema, flat = "shard bigint, n bigint, net binary", None
+    dealt = ids.filter(F.length("ids") > 0).select(F.pmod(F.xxhash64("x._id", "x._key"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64(F.lit("round"), "x._id", "x._key"), F.lit(ROUNDS)).alias("round"), "x._id", "x._key", "ids")
+    for k in range(ROUNDS):
+        mine = dealt.filter(F.col("round") == k).repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard", "_id", "_key")
+        nets, left = Written(mine.select("shard", "ids").mapInArrow(_trained(vocabulary, flat), schema), "networks"), shards
+        while left > 1:
+            left = -(-left // FAN)
+            steps = nets.df.repartition(min(left, 10_000), F.floor(F.col("shard") / FAN)).sortWithinPartitions("shard")
+            after = Written(steps.mapInArrow(_averaged, schema), "networks")
+            nets.drop()
+            nets = after
+        net = nets.df.first()
+        flat = flat if net is None else np.frombuffer(net["net"], "<f8")
+        nets.drop()
+    return Network(vocabulary.frequency).flat() if flat is None else flat
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, log_likelihood."""
-    texts = docs.select(text_of(docs, text).alias("t"))
-    vocabulary, rest = _gathered(texts)
-    scored = _scored(vocabulary, network_of(texts, vocabulary))
+    vocabulary, rest = _gathered(docs.select(text_of(docs, text).alias("t")))
+    ids = written(encoded(docs, vocabulary, doc_id, text), "encoded")
+    own = ids.select("x", "row", "ids", "share").mapInArrow(_scored(vocabulary, network_of(ids, vocabulary)), "x struct<doc_id: bigint, _id: bigint, _key: bigint>, row bigint, n_words bigint, log_likelihood double")
     if rest is None:
-        return docs.select(id_of(docs, doc_id).alias("doc_id"), text_of(docs, text).alias("t")).mapInArrow(scored, "doc_id bigint, n_words bigint, log_likelihood double")
-    rows = docs.select(id_of(docs, doc_id).alias("doc_id"), *keyed(docs, doc_id, text))
-    words = rows.select("_id", "_key", F.monotonically_increasing_id().alias("_r"), "_text").mapInArrow(_unheld(vocabulary), "_id bigint, _key bigint, _r bigint, word bigint, n bigint")
-    each = words.join(rest, F.col("word") == F.col("w")).groupBy("_id", "_key", "_r").agg(F.sum(F.col("n") * F.col("share")).alias("more"))
-    # repeated rows have equal sums
-    more = each.groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k")).agg(F.min("more").alias("more"))
-    own = rows.select(F.struct("doc_id", "_id", "_key").alias("x"), "_text").mapInArrow(scored, "x struct<doc_id: bigint, _id: bigint, _key: bigint>, n_words bigint, log_likelihood double")
-    joined = own.join(more, (F.col("x._id") == F.col("_i")) & (F.col("x._key") == F.col("_k")), "left")
+        return own.select("x.doc_id", "n_words", "log_likelihood")
+    words = ids.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    more = words.join(rest, F.col("word") == F.col("w")).groupBy(F.col("row").alias("_r")).agg(F.sum(F.col("n") * F.col("share")).alias("more"))
+    joined = own.join(more, F.col("row") == F.col("_r"), "left")
     return joined.select("x.doc_id", "n_words", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
 
 
