@@ -364,7 +364,7 @@ def test_lm_scores_match_a_plain_loop(docs):
 
     texts = texts.select(F.coalesce("text", F.lit("")).alias("t"))
     v = lmscore.vocabulary_of(texts)
-    flat = lmscore.network_of(texts, v)
+    flat = lmscore.network_of(common.written(lmscore.encoded(docs, v), "ids"), v)
     net = lmscore.Network(v.frequency).load(flat)
     powers = lmscore.Powers()
     for text in [ROWS[0][1], ROWS[4][1], "one", "two words"]:
@@ -388,9 +388,9 @@ def test_training_beats_counts(spark):
     held_out = spark.createDataFrame([(0, made()), (1, " ".join(rng.choice(cycle) for _ in range(400)))], df.schema)
     texts = df.selectExpr("text AS t")
     v = lmscore.vocabulary_of(texts)
-    flat = lmscore.network_of(texts, v)
-    rows = held_out.select("doc_id", "text").mapInArrow(lmscore._scored(v, flat), "doc_id bigint, n bigint, s double").collect()
-    score = {r["doc_id"]: r["s"] / r["n"] for r in rows}
+    flat = lmscore.network_of(common.written(lmscore.encoded(df, v), "ids"), v)
+    rows = lmscore.encoded(held_out, v).select("x", "row", "ids", "share").mapInArrow(lmscore._scored(v, flat), "x struct<doc_id: bigint, _id: bigint, _key: bigint>, row bigint, n bigint, s double").collect()
+    score = {r["x"]["doc_id"]: r["s"] / r["n"] for r in rows}
     assert score[0] > -np.log(20) + 1 > score[1] + 1
 
 
@@ -402,7 +402,7 @@ def test_lm_scores_every_word(spark, monkeypatch, shared):
     rows += [(60, " ".join(f"once{k}" for k in range(50))), rows[0], rows[0], (None, "w1 once0"), (61, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     v = lmscore.vocabulary_of(texts := df.selectExpr("coalesce(text, '') AS t"))
-    net = lmscore.Network(v.frequency).load(lmscore.network_of(texts, v))
+    net = lmscore.Network(v.frequency).load(lmscore.network_of(common.written(lmscore.encoded(df, v), "ids"), v))
     hashed = lambda t: lmscore._words([(t or "").encode()], lmscore.Powers())[0]
     counts = Counter(int(w) for _, t in rows for w in hashed(t))
     bucket = {w: int(v.ids(np.array([w], np.uint64))[0]) for w in counts}
@@ -420,6 +420,16 @@ def test_lm_scores_every_word(spark, monkeypatch, shared):
     assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=1e-2)
 
 
+@pytest.mark.parametrize("shard", [lmscore.SHARD, 3000])
+def test_lm_scores_do_not_depend_on_partitions(docs, shard, monkeypatch):
+    monkeypatch.setattr(lmscore, "SHARD", shard)
+    monkeypatch.setattr(lmscore, "FAN", 2)
+    near = lambda n: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"]), r["log_likelihood"]) for r in lmscore.scores(docs.repartition(n)).collect())
+    one, other = near(2), near(7)
+    assert [k for k, _ in one] == [k for k, _ in other]
+    assert np.allclose([x for _, x in one], [x for _, x in other], rtol=1e-5)
+
+
 def test_lm_query(docs):
     out = lmscore.query(docs).collect()
     assert len(out) == len(ROWS)
@@ -478,6 +488,28 @@ def test_tool_call_order(spark):
     assert got == {"a": (1, True, ""), "b": (2, True, ""), "c": (3, False, "$: not JSON"), "z": (1, False, "unknown tool"), "x": (2, False, "cycle"), "y": (3, False, "cycle")}
 
 
+def test_very_long_texts(spark, monkeypatch):
+    long = prose(250_000, 40)
+    assert len(long) > 1_100_000
+    item = " ".join(long.split()[200_000:200_030])
+    rows = [(0, long), (1, "short " * 60), (2, long[: len(long) // 2]), (3, long + " end"), (4, "x" * 1_200_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    items = spark.createDataFrame([(7, item), (8, prose(40))], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.query(df, items).collect()} == {(0, 7), (3, 7)}
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.query(df).collect()} == {i: f"{plain_fingerprint(t):016x}" for i, t in rows}
+    whole = {r["doc_id"]: (r["n_words"], r["log_likelihood"]) for r in lmscore.scores(df).collect()}
+    assert {i: n for i, (n, _) in whole.items()} == {i: len(t.split()) for i, t in rows}
+    monkeypatch.setattr(lmscore, "CHUNK", 10_000_000)
+    again = {r["doc_id"]: r["log_likelihood"] for r in lmscore.scores(df).collect()}
+    assert all(np.isclose(again[i], x, rtol=1e-5) for i, (_, x) in whole.items())
+
+
+def test_repeated_words_of_long_texts(spark):
+    texts = [" ".join(f"w{k}" for k in range(200_000)) + " w1 w2 w3" * i for i in range(2)]
+    rows = quality.measured(spark.createDataFrame([(t,) for t in texts], "_t string"), ["n_repeat_words"])
+    assert sorted(r["n_repeat_words"] for r in rows.select("n_repeat_words").collect()) == [0, 6]
+
+
 def test_empty_tables(spark, docs, benchmark):
     none, items = docs.limit(0), benchmark.limit(0)
     for module in (quality, secrets, linededup, suffixes, simhash, packing, tokencount, lmscore):
