@@ -20,19 +20,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+#: For hashes that don't depend on the first ones.
+OTHER_BASE = 0xD1342543DE82EF95
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2^64."""
+    """Powers of a base and of its inverse modulo 2^64, and what stands for the bytes."""
 
-    def __init__(self):
+    def __init__(self, base: int = _BASE):
+        self.base, self.symbol = base, SYMBOL if base == _BASE else mix(SYMBOL ^ np.uint64(base))
         self.up = self.down = np.ones(1, np.uint64)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, STEP + 1)
             run = lambda b: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size - 1, b, np.uint64))])
-            self.up, self.down = run(np.uint64(_BASE)), run(np.uint64(pow(_BASE, -1, 1 << 64)))
+            self.up, self.down = run(np.uint64(self.base)), run(np.uint64(pow(self.base, -1, 1 << 64)))
         return self.up[:n], self.down[:n]
 
 
@@ -43,7 +46,7 @@ class Hashed:
         self.bytes = np.frombuffer(data, np.uint8)
         up, self.down = powers.of(len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(SYMBOL[self.bytes] * up[:-1], out=self.total[1:])
+        np.cumsum(powers.symbol[self.bytes] * up[:-1], out=self.total[1:])
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))

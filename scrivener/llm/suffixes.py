@@ -1,9 +1,11 @@
-"""Exact substring dedup by prefix doubling over names of positions.
+"""Exact substring dedup: names of positions that stand for ever longer strings, in rounds.
 
 A byte goes if a string of LENGTH bytes that covers it also starts earlier (smaller id, or same document and earlier
-start). Names of positions are doubled as in a suffix array: names of the strings of HEAD bytes first, then longer
-ones, each round over the positions that the one before left; a position leaves as soon as its name is unique or its
-string has LENGTH bytes. Three rounds do, and in none are all positions shuffled:
+start). This has the frame of prefix doubling over a suffix array: names of short strings first, then of longer ones, each
+round over the positions that the one before left; a position leaves as soon as its name is unique or its string has
+LENGTH bytes. It is not the literal form of it: positions are thinned first, names are hashes in place of sorted ranks,
+and there are three rounds in place of one for each doubling. (Ranks need a row for each byte of text in every round; the
+README says what that costs.) In no round are all positions shuffled:
 
 1. Names of HEAD bytes. Of every LENGTH - HEAD + 1 positions in a row the one with the least name stands for all
    (equal strings of LENGTH bytes choose the same one, so nothing is lost). Names found once leave.
@@ -11,10 +13,10 @@ string has LENGTH bytes. Three rounds do, and in none are all positions shuffled
    later place of the same name are repeats at once, and leave. First places leave if no other name shares their HEAD.
 3. The starts that remain, each with the name of its LENGTH bytes: repeats are those after the first of a name.
 
-Names are hashes that agree wherever the strings do, so one shuffle groups equal pairs of names where sorted ranks
-would need a sort of all pairs and a second join a round (see the README for what that costs). First places are
-minima with partial aggregation; joins are of (name, place) rows that Spark can split, so a string that a third of
-all documents hold makes one row a place and no pairs.
+Names of the first round only say which positions may leave: a clash keeps one more. Those of the other two decide, and
+have 96 bits of two polynomial hashes (with the head's, 160 in the second). Counts and first places are aggregated before
+the shuffle and can spill; joins are of (name, place) rows that Spark can split, so a string that a third of all
+documents hold makes one row a place and no pairs.
 
 Defined results: null text counts as empty; a null id sorts first; rows that agree in id and text are one document
 stated twice and get the same result; texts under LENGTH bytes keep everything; an empty table gives an empty table;
@@ -33,12 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.llm.common import Written, keyed, real_id
-from scrivener.llm.hashing import Hashed, Powers, mix
+from scrivener.llm.hashing import OTHER_BASE, Hashed, Powers, mix
 
 LENGTH, HEAD = 100, 51
 #: Rows that a kernel holds before it passes them on.
 ROWS = 100_000
-ANCHOR = "head bigint, name bigint, _id bigint, _key bigint, lo int, more smallint"
+ANCHOR = "head bigint, name bigint, check int, _id bigint, _key bigint, lo int, more smallint"
+
+
+def check_of(text: bytes, powers: Powers, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32 further bits of names."""
+    return (Hashed(text, powers).at(start, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def anchors(hashed: Hashed, length: int, head: int) -> tuple[np.ndarray, ...]:
@@ -79,23 +86,17 @@ def _heads(length: int, head: int):
     return run
 
 
-def _twice(batches):
-    """Names that the partition holds more than once; it holds all rows of its names."""
-    parts = [np.zeros(0, np.int64), *(b.column(0).to_numpy(zero_copy_only=False) for b in batches)]
-    v, n = np.unique(np.concatenate(parts), return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(v[n > 1])], ["head"])
-
-
 def _anchors(length: int, head: int):
-    names = ["head", "name", "_id", "_key", "lo", "more"]
+    names = ["head", "name", "check", "_id", "_key", "lo", "more"]
 
     def run(batches):
-        powers = Powers()
+        powers, other = Powers(), Powers(OTHER_BASE)
         for b in batches:
             cols, held = [[] for _ in names], 0
             for i, k, t in _long(b, length):
                 h, name, lo, more = anchors(Hashed(t, powers), length, head)
-                for c, x in zip(cols, (h.view(np.int64), name.view(np.int64), np.full(len(lo), i), np.full(len(lo), k), lo.astype(np.int32), more.astype(np.int16)), strict=True):
+                check = check_of(t, other, lo, lo + more + length)
+                for c, x in zip(cols, (h.view(np.int64), name.view(np.int64), check, np.full(len(lo), i), np.full(len(lo), k), lo.astype(np.int32), more.astype(np.int16)), strict=True):
                     c.append(x)
                 held += len(lo)
                 if held >= ROWS:
@@ -120,24 +121,25 @@ def _unzip(z: bytes) -> bytes:
 
 def _starts(length: int):
     """Names of LENGTH bytes for the starts of the ranges (lo, more) of a document."""
+    names = ["name", "check", "_id", "_key", "lo"]
 
     def run(batches):
-        powers = Powers()
+        powers, other = Powers(), Powers(OTHER_BASE)
         for b in batches:
-            cols, held = [[] for _ in range(4)], 0
+            cols, held = [[] for _ in names], 0
             for i, k, z, ranges in zip(*(b.column(j) for j in range(4)), strict=True):
-                hashed = Hashed(_unzip(z.as_py()), powers)
+                t = _unzip(z.as_py())
                 lo, more = (ranges.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in (0, 1))
                 p = np.repeat(lo - np.concatenate([[0], np.cumsum(more + 1)[:-1]]), more + 1) + np.arange((more + 1).sum())
-                g = hashed.at(p, p + length)
-                for c, x in zip(cols, (g.view(np.int64), np.full(len(p), i.as_py()), np.full(len(p), k.as_py()), p.astype(np.int32)), strict=True):
+                g = Hashed(t, powers).at(p, p + length)
+                for c, x in zip(cols, (g.view(np.int64), check_of(t, other, p, p + length), np.full(len(p), i.as_py()), np.full(len(p), k.as_py()), p.astype(np.int32)), strict=True):
                     c.append(x)
                 held += len(p)
                 if held >= ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["name", "_id", "_key", "lo"])
-                    cols, held = [[] for _ in range(4)], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
+                    cols, held = [[] for _ in names], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["name", "_id", "_key", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
 
     return run
 
@@ -176,15 +178,15 @@ def _clean(df: DataFrame) -> None:
 def repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFrame:
     """(_id, _key, ranges): starts (lo, further ones) of strings of `length` bytes that also start earlier; docs has _id, _key, _text (binary)."""
     place = F.struct("_id", "_key", "lo")
-    heads = docs.mapInArrow(_heads(length, head), "head bigint").repartition("head").mapInArrow(_twice, "head bigint")
+    heads = docs.mapInArrow(_heads(length, head), "head bigint").groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
     often = Written(heads, "heads")
     _clean(docs)
     live = Written(docs.mapInArrow(_anchors(length, head), ANCHOR).join(often.df.hint("shuffle_hash"), "head"), "anchors")
     often.drop()
     _clean(docs)
-    first = Written(live.df.groupBy("head", "name").agg(F.min(F.struct("_id", "_key", "lo", "more")).alias("f"), F.count("*").alias("n")), "segments")
-    again = first.df.filter("n > 1").select("head", "name", "f")
-    later = live.df.join(again, ["head", "name"]).filter(place > F.struct("f._id", "f._key", "f.lo"))
+    first = Written(live.df.groupBy("head", "name", "check").agg(F.min(F.struct("_id", "_key", "lo", "more")).alias("f"), F.count("*").alias("n")), "segments")
+    again = first.df.filter("n > 1").select("head", "name", "check", "f")
+    later = live.df.join(again, ["head", "name", "check"]).filter(place > F.struct("f._id", "f._key", "f.lo"))
     whole = Written(later.select("_id", "_key", "lo", F.col("more").cast("int").alias("more")), "later")
     live.drop()
     _clean(docs)
@@ -192,13 +194,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFram
     open_ = first.df.join(shared, "head").select("f.*").groupBy("_id", "_key").agg(F.collect_list(F.struct(F.col("lo"), F.col("more").cast("int").alias("more"))).alias("ranges"))
     open_ = Written(open_, "open")
     texts = docs.mapInArrow(_zipped, "_id bigint, _key bigint, z binary")
-    starts = Written(texts.join(open_.df, ["_id", "_key"]).select("_id", "_key", "z", "ranges").mapInArrow(_starts(length), "name bigint, _id bigint, _key bigint, lo int"), "starts")
+    starts = Written(texts.join(open_.df, ["_id", "_key"]).select("_id", "_key", "z", "ranges").mapInArrow(_starts(length), "name bigint, check int, _id bigint, _key bigint, lo int"), "starts")
     first.drop()
     open_.drop()
     _clean(docs)
-    firsts = Written(starts.df.groupBy("name").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("name", "f"), "firsts")
+    firsts = Written(starts.df.groupBy("name", "check").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("name", "check", "f"), "firsts")
     _clean(docs)
-    single = starts.df.join(firsts.df, "name").filter(place > F.col("f")).select("_id", "_key", "lo", F.lit(0).alias("more"))
+    single = starts.df.join(firsts.df, ["name", "check"]).filter(place > F.col("f")).select("_id", "_key", "lo", F.lit(0).alias("more"))
     found = whole.df.union(single).groupBy("_id", "_key").agg(F.collect_list(F.struct("lo", "more")).alias("ranges"))
     done = Written(found, "repeats")
     whole.drop()
