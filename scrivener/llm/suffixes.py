@@ -13,9 +13,9 @@ README says what that costs.) In no round are all positions shuffled:
    later place of the same name are repeats at once, and leave. First places leave if no other name shares their HEAD.
 3. The starts that remain, each with the name of its LENGTH bytes: repeats are those after the first of a name.
 
-Names of the first round only say which positions may leave: a clash keeps one more. Those of the other two decide, and
-have 96 bits of two polynomial hashes (with the head's, 160 in the second). Counts and first places are aggregated before
-the shuffle and can spill; joins are of (name, place) rows that Spark can split, so a string that a third of all
+Names of the first round only say which positions may leave: a clash keeps one more. Those of the second decide with 64
+bits among the places of one head (128 with it), those of the third with 96 bits of two polynomial hashes. Counts and
+first places are aggregated before the shuffle and can spill; joins are of (name, place) rows that Spark can split, so a string that a third of all
 documents hold makes one row a place and no pairs.
 
 Defined results: null text counts as empty; a null id sorts first; rows that agree in id and text are one document
@@ -40,7 +40,7 @@ from scrivener.llm.hashing import OTHER_BASE, Hashed, Powers, mix
 LENGTH, HEAD = 100, 51
 #: Rows that a kernel holds before it passes them on.
 ROWS = 100_000
-ANCHOR = "head bigint, name bigint, check int, _id bigint, _key bigint, lo int, more smallint"
+ANCHOR = "head bigint, name bigint, _id bigint, _key bigint, lo int, more smallint"
 
 
 def check_of(text: bytes, powers: Powers, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -87,16 +87,15 @@ def _heads(length: int, head: int):
 
 
 def _anchors(length: int, head: int):
-    names = ["head", "name", "check", "_id", "_key", "lo", "more"]
+    names = ["head", "name", "_id", "_key", "lo", "more"]
 
     def run(batches):
-        powers, other = Powers(), Powers(OTHER_BASE)
+        powers = Powers()
         for b in batches:
             cols, held = [[] for _ in names], 0
             for i, k, t in _long(b, length):
                 h, name, lo, more = anchors(Hashed(t, powers), length, head)
-                check = check_of(t, other, lo, lo + more + length)
-                for c, x in zip(cols, (h.view(np.int64), name.view(np.int64), check, np.full(len(lo), i), np.full(len(lo), k), lo.astype(np.int32), more.astype(np.int16)), strict=True):
+                for c, x in zip(cols, (h.view(np.int64), name.view(np.int64), np.full(len(lo), i), np.full(len(lo), k), lo.astype(np.int32), more.astype(np.int16)), strict=True):
                     c.append(x)
                 held += len(lo)
                 if held >= ROWS:
@@ -184,9 +183,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFram
     live = Written(docs.mapInArrow(_anchors(length, head), ANCHOR).join(often.df.hint("shuffle_hash"), "head"), "anchors")
     often.drop()
     _clean(docs)
-    first = Written(live.df.groupBy("head", "name", "check").agg(F.min(F.struct("_id", "_key", "lo", "more")).alias("f"), F.count("*").alias("n")), "segments")
-    again = first.df.filter("n > 1").select("head", "name", "check", "f")
-    later = live.df.join(again, ["head", "name", "check"]).filter(place > F.struct("f._id", "f._key", "f.lo"))
+    first = Written(live.df.groupBy("head", "name").agg(F.min(F.struct("_id", "_key", "lo", "more")).alias("f"), F.count("*").alias("n")), "segments")
+    again = first.df.filter("n > 1").select("head", "name", "f")
+    later = live.df.join(again, ["head", "name"]).filter(place > F.struct("f._id", "f._key", "f.lo"))
     whole = Written(later.select("_id", "_key", "lo", F.col("more").cast("int").alias("more")), "later")
     live.drop()
     _clean(docs)
