@@ -192,9 +192,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFram
     shared = first.df.groupBy("head").agg(F.count("*").alias("k")).filter("k > 1").select("head")
     open_ = first.df.join(shared, "head").select("f.*").groupBy("_id", "_key").agg(F.collect_list(F.struct(F.col("lo"), F.col("more").cast("int").alias("more"))).alias("ranges"))
     open_ = Written(open_, "open")
+    first.drop()
+    _clean(docs)
     texts = docs.mapInArrow(_zipped, "_id bigint, _key bigint, z binary")
     starts = Written(texts.join(open_.df, ["_id", "_key"]).select("_id", "_key", "z", "ranges").mapInArrow(_starts(length), "name bigint, check int, _id bigint, _key bigint, lo int"), "starts")
-    first.drop()
     open_.drop()
     _clean(docs)
     firsts = Written(starts.df.groupBy("name", "check").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("name", "check", "f"), "firsts")
