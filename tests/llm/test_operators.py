@@ -266,10 +266,12 @@ def near_rows():
     return [*rows, rows[1], (None, base[2]), (None, "only here without a number")]
 
 
-@pytest.mark.parametrize("group", [nearcopies.GROUP, 4])
-def test_near_copies(spark, group, monkeypatch):
-    monkeypatch.setattr(nearcopies.near_groups, "__defaults__", ("doc_id", "text", group))
-    rows = near_rows()
+@pytest.mark.parametrize(("group", "weight", "share"), [(nearcopies.GROUP, nearcopies.WEIGHT, common.SHARE), (4, nearcopies.WEIGHT, 1), (nearcopies.GROUP, 900, 1)])
+def test_near_copies(spark, group, weight, share, monkeypatch):
+    monkeypatch.setattr(nearcopies.near_groups, "__defaults__", ("doc_id", "text", group, weight))
+    monkeypatch.setattr(common, "SHARE", share)
+    monkeypatch.setattr(common, "FEW", common.FEW if share > 1 else 0)
+    rows = [*near_rows(), *((1000 + i, "the same words in many rows of the table") for i in range(9))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     want = near_kept(rows)
     assert len(want) < len(simhash.near_dedup(df).collect())
