@@ -16,7 +16,7 @@ README says what that costs.) In no round are all positions shuffled:
 Names of the first round only say which positions may leave: a clash keeps one more. Those of the second decide with 64
 bits among the places of one head (128 with it), those of the third with 96 bits of two polynomial hashes. Counts and
 first places are aggregated before the shuffle and can spill; joins are of (name, place) rows that Spark can split, so a string that a third of all
-documents hold makes one row a place and no pairs.
+documents hold makes one row a place and no pairs. First places of a frequent head are split by their names.
 
 Defined results: null text counts as empty; a null id sorts first; rows that agree in id and text are one document
 stated twice and get the same result; texts under LENGTH bytes keep everything; an empty table gives an empty table;
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import Written, keyed, real_id
+from scrivener.llm.common import Written, dealt, hot_keys, keyed, real_id
 from scrivener.llm.hashing import OTHER_BASE, Hashed, Powers, mix
 
 LENGTH, HEAD = 100, 51
@@ -189,10 +189,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFram
     whole = Written(later.select("_id", "_key", "lo", F.col("more").cast("int").alias("more")), "later")
     live.drop()
     _clean(docs)
-    shared = first.df.groupBy("head").agg(F.count("*").alias("k")).filter("k > 1").select("head")
-    open_ = first.df.join(shared, "head").select("f.*").groupBy("_id", "_key").agg(F.collect_list(F.struct(F.col("lo"), F.col("more").cast("int").alias("more"))).alias("ranges"))
+    shared = Written(first.df.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    hot = hot_keys(shared.df, "head")
+    named = dealt(first.df.select("head", "f", "name"), hot, "head", F.xxhash64("name"))
+    open_ = named.join(dealt(shared.df.select("head"), hot, "head"), ["head", "salt"]).select("f.*").groupBy("_id", "_key").agg(F.collect_list(F.struct(F.col("lo"), F.col("more").cast("int").alias("more"))).alias("ranges"))
     open_ = Written(open_, "open")
     first.drop()
+    shared.drop()
     _clean(docs)
     texts = docs.mapInArrow(_zipped, "_id bigint, _key bigint, z binary")
     starts = Written(texts.join(open_.df, ["_id", "_key"]).select("_id", "_key", "z", "ranges").mapInArrow(_starts(length), "name bigint, check int, _id bigint, _key bigint, lo int"), "starts")

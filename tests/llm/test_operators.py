@@ -159,7 +159,9 @@ def test_long_lines_repeated_alone(spark, share, monkeypatch):
     assert sum(long in (r[1] or "") for r in got) == 1
 
 
-def test_suffix_dedup(spark, docs):
+@pytest.mark.parametrize("share", [common.SHARE, 1])
+def test_suffix_dedup(spark, docs, share, monkeypatch):
+    monkeypatch.setattr(common, "SHARE", share)
     seen, want, left = set(), [], copies()
     for doc_id, text in ordered(spark).values():
         b = text.encode()
