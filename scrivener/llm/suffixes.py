@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from scrivener.llm.hashing import OTHER_BASE, Hashed, Powers, mix
 LENGTH, HEAD = 100, 51
 #: Rows that a kernel holds before it passes them on.
 ROWS = 100_000
+#: Seconds for dropped plans to be let go of, twice a round.
+WAIT = 0.7
 ANCHOR = "head bigint, name bigint, _id bigint, _key bigint, lo int, more smallint"
 
 
@@ -169,9 +172,12 @@ def _cut(length: int):
 
 
 def _clean(df: DataFrame) -> None:
-    """Lets Spark remove the shuffle files of plans that ended, which otherwise wait for the driver's garbage collection."""
+    """Lets Spark remove the shuffle files of plans that ended, which otherwise wait for the driver's garbage collection.
+    What Python drops is let go of by a thread of the gateway, and files are removed by threads too: both get a moment."""
     gc.collect()
+    time.sleep(WAIT)
     df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(WAIT)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFrame:
