@@ -47,15 +47,33 @@ def _place(spark: SparkSession, path: str):
 
 
 _PASSING: list[list[Written]] = []
+#: Spark's own switch: the shuffle files of an execution go when it ends, in place of when the driver collects its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Holds CLEANUP on; a plan that ran inside and runs again makes its shuffles anew."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 class Written:
-    """A table written to the shared folder: its lineage ends there, so a lost executor costs a read only."""
+    """A table written to the shared folder: its lineage ends there, so a lost executor costs a read only, and the shuffles
+    that made it go at once."""
 
     def __init__(self, df: DataFrame, name: str, lasting: bool = False):
         self.spark = df.sparkSession
         self.path = f"{scratch(self.spark)}/scrivener-{uuid.uuid4().hex}-{name}"
-        df.write.parquet(self.path)
+        with _shuffles_go(self.spark):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         files, place = _place(self.spark, self.path)
         files.deleteOnExit(place)

@@ -25,9 +25,7 @@ other columns don't matter.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +39,6 @@ from scrivener.llm.hashing import OTHER_BASE, Hashed, Powers, mix
 LENGTH, HEAD = 100, 51
 #: Rows that a kernel holds before it passes them on.
 ROWS = 100_000
-#: Seconds for dropped plans to be let go of, twice a round.
-WAIT = 0.7
 ANCHOR = "head bigint, name bigint, _id bigint, _key bigint, lo int, more smallint"
 
 
@@ -171,48 +167,32 @@ def _cut(length: int):
     return run
 
 
-def _clean(df: DataFrame) -> None:
-    """Lets Spark remove the shuffle files of plans that ended, which otherwise wait for the driver's garbage collection.
-    What Python drops is let go of by a thread of the gateway, and files are removed by threads too: both get a moment."""
-    gc.collect()
-    time.sleep(WAIT)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    time.sleep(WAIT)
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, head: int = HEAD) -> DataFrame:
     """(_id, _key, ranges): starts (lo, further ones) of strings of `length` bytes that also start earlier; docs has _id, _key, _text (binary)."""
     place = F.struct("_id", "_key", "lo")
     heads = docs.mapInArrow(_heads(length, head), "head bigint").groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head")
     often = Written(heads, "heads")
-    _clean(docs)
     live = Written(docs.mapInArrow(_anchors(length, head), ANCHOR).join(often.df.hint("shuffle_hash"), "head"), "anchors")
     often.drop()
-    _clean(docs)
     first = Written(live.df.groupBy("head", "name").agg(F.min(F.struct("_id", "_key", "lo", "more")).alias("f"), F.count("*").alias("n")), "segments")
     again = first.df.filter("n > 1").select("head", "name", "f")
     later = live.df.join(again, ["head", "name"]).filter(place > F.struct("f._id", "f._key", "f.lo"))
     whole = Written(later.select("_id", "_key", "lo", F.col("more").cast("int").alias("more")), "later")
     live.drop()
-    _clean(docs)
     shared = first.df.groupBy("head").agg(F.count("*").alias("k")).filter("k > 1").select("head")
     open_ = first.df.join(shared, "head").select("f.*").groupBy("_id", "_key").agg(F.collect_list(F.struct(F.col("lo"), F.col("more").cast("int").alias("more"))).alias("ranges"))
     open_ = Written(open_, "open")
     first.drop()
-    _clean(docs)
     texts = docs.mapInArrow(_zipped, "_id bigint, _key bigint, z binary")
     starts = Written(texts.join(open_.df, ["_id", "_key"]).select("_id", "_key", "z", "ranges").mapInArrow(_starts(length), "name bigint, check int, _id bigint, _key bigint, lo int"), "starts")
     open_.drop()
-    _clean(docs)
     firsts = Written(starts.df.groupBy("name", "check").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("name", "check", "f"), "firsts")
-    _clean(docs)
     single = starts.df.join(firsts.df, ["name", "check"]).filter(place > F.col("f")).select("_id", "_key", "lo", F.lit(0).alias("more"))
     found = whole.df.union(single).groupBy("_id", "_key").agg(F.collect_list(F.struct("lo", "more")).alias("ranges"))
     done = Written(found, "repeats")
     whole.drop()
     starts.drop()
     firsts.drop()
-    _clean(docs)
     return done.df
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scrivener.llm import bpe, common, components, decontam, linededup, lmscore, nearcopies, packing, quality, secrets, simhash, suffixes, tokencount, toolcalls
@@ -514,6 +516,23 @@ def test_repeated_words_of_long_texts(spark):
     assert sorted(r["n_repeat_words"] for r in rows.select("n_repeat_words").collect()) == [0, 6]
 
 
+def test_written_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    before, was = files(), spark.conf.get(common.CLEANUP, None)
+    counted = spark.range(20_000).groupBy((F.col("id") % 777).alias("k")).agg(F.count("*").alias("n"))
+    table = common.Written(counted.join(spark.range(700).withColumnRenamed("id", "k").hint("merge"), "k"), "counted")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.CLEANUP, None) == was
+    assert table.df.count() == 700 and counted.count() == 777
+    table.drop()
+
+
 def test_empty_tables(spark, docs, benchmark):
     none, items = docs.limit(0), benchmark.limit(0)
     for module in (quality, secrets, linededup, suffixes, simhash, packing, tokencount, lmscore):
