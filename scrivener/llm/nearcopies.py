@@ -1,14 +1,15 @@
 """Near-copy dedup: texts whose sets of 5-word shingles have a Jaccard similarity of SIMILARITY or more are linked.
 
-Rows of equal shingle sets are one node (its number is a 64-bit hash of the set). BANDS keys of ROWS MinHash values
-each make candidates: a pair of similarity s shares no key with chance (1 - s^ROWS)^BANDS, which is 7e-10 at 0.8 and
-less above. Every candidate pair is then decided by its shingle sets (64-bit hashes of all shingles), unless its nodes
-are joined already; components of the links are the groups.
+Rows of equal shingle sets are one node (its number is a 64-bit hash of the set). Nodes get op10's operator on fingerprints
+wide enough for that similarity: SimHash bits of the shingle hashes, under tries by equal blocks of the bits, traversed
+pairwise (`simhash.wide_links`). What the tries join, directly or by others, is a bucket; a linked pair is in no bucket with
+chance 1e-6 at most, for four shingles against five, and less for larger sets. Every pair of a bucket is then decided by its shingle
+sets (64-bit hashes of all shingles), unless its nodes are joined already; components of the links are the groups.
 
-A bucket (the nodes of one key) is held whole by one task up to GROUP nodes and WEIGHT shingles. Larger ones are dealt into
-parts, each with the bucket's least node; where that leaves several components in a bucket, all pairs of its parts are compared.
-Buckets of the same nodes are taken once. Tasks return spanning forests, so the output follows nodes, not pairs. Rows of a
-frequent node or label are split where they are joined. Texts aren't shuffled while the documents to be compared, and those to be taken out, are few enough for a broadcast (counted).
+A bucket is held whole by one task up to GROUP nodes and WEIGHT shingles. Larger ones are dealt into parts, each with the
+bucket's least node; where that leaves several components in a bucket, all pairs of its parts are compared.
+Tasks return spanning forests, so the output follows nodes, not pairs. Rows of a frequent node or label are split where they
+are joined. Texts aren't shuffled while the documents to be compared, and those to be taken out, are few enough for a broadcast (counted).
 
 Defined results: words are lower-cased (A-Z); a text of fewer than SHINGLE words is one shingle; null text counts as
 empty; texts without words are equal; a null id sorts after all others; an empty table gives an empty table.
@@ -25,17 +26,16 @@ from pyspark.sql import functions as F
 from scrivener.llm.common import dealt, few, hot_keys, id_of, packed, text_of, written
 from scrivener.llm.components import components
 from scrivener.llm.decontam import gram_hashes
-from scrivener.llm.hashing import Powers, mix, word_hashes
+from scrivener.llm.hashing import Powers, word_hashes
+from scrivener.llm.simhash import wide_fingerprint, wide_links
 
 SHINGLE, SIMILARITY = 5, 0.8
-ROWS, BANDS = 4, 40
 #: Nodes that one task compares at once, and the shingles (8 bytes each) that they may have in all.
 GROUP, WEIGHT = 500, 8_000_000
 #: Bytes of documents hashed at once; a longer document is handled alone.
 CHUNK = 1_000_000
 MOST_ID = 2**63 - 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_FACTORS = np.random.default_rng(5).integers(0, 2**63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], powers: Powers):
@@ -47,17 +47,6 @@ def shingle_sets(texts: list[bytes], powers: Powers):
         yield np.unique(grams[a : b - SHINGLE + 1] if b - a >= SHINGLE else gram_hashes(words[a:b], b - a) if b > a else words[:0])
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    least = np.full(ROWS * BANDS, 2**64 - 1, np.uint64)
-    for a in range(0, len(own), 2048):
-        np.minimum(least, (own[a : a + 2048, None] * _FACTORS).min(0), out=least)
-    rows = mix(least + _FACTORS).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = mix(key * np.uint64(0x2545F4914F6CDD1D) + rows[:, k])
-    return key
-
-
 def _chunks(column):
     """(first row, texts) of about CHUNK bytes."""
     at, group, size = 0, [], 0
@@ -76,13 +65,13 @@ def _sketched(batches):
     powers = Powers()
     for b in batches:
         for at, texts in _chunks(b.column(2)):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints = [], [], []
             for own in shingle_sets(texts, powers):
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
                 sizes.append(len(own))
-                keys.append(band_keys(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
+                prints.append(wide_fingerprint(own).tobytes())
             ids = (b.column(k).slice(at, len(texts)) for k in range(2))
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_key", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], ["_id", "_key", "node", "size", "fp"])
 
 
 def _sets(batches):
@@ -154,20 +143,19 @@ def _keys(docs: DataFrame, doc_id: str, text: str):
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP, weight: int = WEIGHT) -> DataFrame:
     """(_id, _key, label): a row for each row of docs; rows of a label are near copies."""
     own = docs.select(*_keys(docs, doc_id, text))
-    rows = written(own.mapInArrow(_sketched, "_id bigint, _key bigint, node bigint, size bigint, bands array<bigint>"), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct("_id", "_key")).alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    rows = written(own.mapInArrow(_sketched, "_id bigint, _key bigint, node bigint, size bigint, fp binary"), "sketches")
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct("_id", "_key")).alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp")), "nodes")
     hot = hot_keys(nodes, "node")
-    keys = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("node").alias("centre"), *mark).filter("n > 1")
-    once = written(sizes.groupBy("n", "centre", "x0", "x1").agg(F.min("bucket").alias("bucket"), F.max("size").alias("size")).select("bucket", "n", "size", "centre"), "buckets")
-    live = keys.drop("size").join(once, "bucket").withColumn("parts", F.ceil(F.greatest(F.col("n") / group, F.col("size") / weight)).cast("int"))
+    near = components(wide_links(nodes.filter("size > 0")))
+    sizes = near.join(nodes.select("node", "size"), "node").groupBy(F.col("label").alias("bucket")).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    large = sizes.select("bucket", F.ceil(F.greatest(F.col("n") / group, F.col("size") / weight)).cast("int").alias("parts")).filter("parts > 1")
+    live = near.join(few(written(large, "large")), F.col("label") == F.col("bucket"), "left").select(F.col("label").alias("bucket"), F.coalesce("parts", F.lit(1)).alias("parts"), "node")
     live = written(live.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "members")
-    wanted = nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", F.col("f._id").alias("_wi"), F.col("f._key").alias("_wk"))
+    wanted = nodes.join(live.select("node"), "node", "left_semi").select("node", F.col("f._id").alias("_wi"), F.col("f._key").alias("_wk"))
     texts = own.join(few(written(wanted, "wanted")), (F.col("_id") == F.col("_wi")) & (F.col("_key") == F.col("_wk"))).select("node", "_text")
     # repeated rows have equal texts
     sets = written(texts.mapInArrow(_sets, "node bigint, own binary").dropDuplicates(["node"]), "sets")
-    centres = live.filter("parts > 1").select("bucket", "part", F.col("centre").alias("node"))
+    centres = live.filter("parts > 1").select("bucket", "part", F.col("bucket").alias("node"))
     members = live.select("bucket", "part", "node").union(centres).distinct().withColumn("label", F.col("node"))
     links = written(_links(members, sets, "bucket", "part"), "links")
     labels = components(links)

@@ -282,6 +282,68 @@ def test_near_copies(spark, group, weight, share, monkeypatch):
     assert sorted(str((r[0], r[1] or "")) for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
 
 
+def test_wide_tries_miss_no_near_pair(spark):
+    rng = np.random.default_rng(4)
+    # sets of Jaccard similarity 0.8 in pairs: common ones, then those of one side only
+    shapes = [(4, 1, 0), (8, 1, 1), (12, 3, 0), (80, 10, 10), (400, 50, 50)]
+    prints, pairs = [], []
+    for c, p, q in shapes * 40:
+        h = rng.integers(0, 2**64, c + p + q, np.uint64)
+        pairs.append((len(prints), len(prints) + 1))
+        prints += [simhash.wide_fingerprint(h[: c + p]), simhash.wide_fingerprint(np.concatenate([h[:c], h[c + p :]]))]
+    prints += [simhash.wide_fingerprint(rng.integers(0, 2**64, 50, np.uint64)) for _ in range(200)]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(prints)], "node bigint, fp binary").repartition(3)
+    for width in (None, 8):
+        label = {r["node"]: r["label"] for r in components.components(simhash.wide_links(df, width)).collect()}
+        assert all(label.get(i, i) == label.get(j, j) for i, j in pairs), width
+        assert len({label.get(i, i) for i in range(len(prints))}) > 300
+    assert simhash.wide_links(df.limit(0)).count() == 0
+
+
+def test_wide_forest_joins_as_all_pairs_do():
+    rng = np.random.default_rng(5)
+
+    def flipped(base, n, bits):
+        out = np.repeat(base[None], n, 0)
+        for row in out:
+            for b in rng.choice(64, bits, replace=False):
+                row[b % 2] ^= np.uint64(1) << np.uint64(b)
+        return out
+
+    bases = rng.integers(0, 2**64, (3, 2), np.uint64)
+    # one class over GROUP, a small one, a chain from it, equal fingerprints, and others
+    chain = [bases[1]]
+    for _ in range(5):
+        chain.append(flipped(chain[-1], 1, 18)[0])
+    both = np.concatenate([flipped(bases[0], simhash.GROUP, 6), flipped(bases[1], 40, 5), chain, np.repeat(bases[2:], 300, 0), rng.integers(0, 2**64, (300, 2), np.uint64)])
+    both = both[rng.permutation(len(both))]
+    x, y = np.ascontiguousarray(both.T)
+    label = np.arange(len(x))
+    for i in range(len(x)):
+        first = np.bitwise_count(x ^ x[i])
+        near = np.unique(label[(first <= simhash.FIRST) & (first + np.bitwise_count(y ^ y[i]) <= simhash.WITHIN)])
+        label[np.isin(label, near)] = near.min()
+    assert len(set(label)) < 350
+    up = simhash.wide_forest(x, y)
+    assert len(set(zip(label.tolist(), up.tolist(), strict=True))) == len(set(label)) == len(set(up))
+    values = np.sort(np.concatenate([np.repeat(x[:3], 50), x[:50]]))
+    plain = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 20}
+    met = [p for i, j in simhash.meetings(values, None, 20, 16) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(met) == len(plain) and set(met) == plain
+    across = [p for i, j in simhash.meetings(values[:90], values[90:], 20, 16) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(across) == len(set(across)) and set(across) == {(i, j - 90) for i, j in plain if i < 90 <= j}
+
+
+def test_near_copies_come_from_the_tries(spark, monkeypatch):
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    asked = []
+    monkeypatch.setattr(nearcopies, "wide_links", lambda prints: asked.append(prints.count()) or prints.select("node", F.col("node").alias("v")).toDF("u", "v").limit(0))
+    kept = corpus_pipeline.near_dedup(spark, df, "").count()
+    sets = {" ".join((r[1] or "").lower().split()) for r in rows}
+    assert asked and kept == len(sets) > len(near_kept(rows))
+
+
 def checked_packing(rows, out):
     from tokenizers import Tokenizer
 
