@@ -3,7 +3,7 @@
 Rows of equal shingle sets are one node (its number is a 64-bit hash of the set). Nodes get op10's operator on fingerprints
 wide enough for that similarity: SimHash bits of the shingle hashes, under tries by equal blocks of the bits, traversed
 pairwise (`simhash.wide_links`). What the tries join, directly or by others, is a bucket; a linked pair is in no bucket with
-chance 1e-6 at most, for four shingles against five, and less for larger sets. Every pair of a bucket is then decided by its shingle
+chance 1e-6 at most, for four shingles against five, and less for larger sets (computed up to 59 common shingles). Every pair of a bucket is then decided by its shingle
 sets (64-bit hashes of all shingles), unless its nodes are joined already; components of the links are the groups.
 
 A bucket is held whole by one task up to GROUP nodes and WEIGHT shingles. Larger ones are dealt into parts, each with the
