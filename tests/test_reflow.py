@@ -1,5 +1,6 @@
 """The fold on cases traced by hand, its line rules against the native ones, and properties of whole documents."""
 
+import cProfile
 import random
 import re
 
@@ -115,3 +116,27 @@ def test_fold_agrees_with_the_plain_fold(page_header, heading):
 def test_reads_its_input_once(spark):
     plan = R.reflow(cjk_documents(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+
+
+def test_fold_takes_few_steps_a_line():
+    rng = random.Random(10)
+    lines = ["".join(rng.choice(LETTERS) for _ in range(12)) if rng.random() < 0.6 else written_line(rng) for _ in range(5000)]
+    said = cProfile.Profile()
+    said.runcall(R.fold, "\n".join(lines))
+    assert sum(e.callcount for e in said.getstats()) < 35 * len(lines)
+
+
+def test_lines_known_as_plain_are_text_by_every_rule():
+    rng = random.Random(11)
+    marks = "卷章前言第，。！？；：、…—.!?,-=~＝ab１２）(（“”「」 　\t"
+    given = ["".join(rng.choice(LETTERS[:20]) if rng.random() < 0.9 else rng.choice(marks) for _ in range(rng.choice([1, 8, 9, 10, 12, 17, 60]))) for _ in range(30000)]
+    given += ["一二三四" * 3, "一二三四五。" * 3, "的" * 50, "前言一二三四五六七八", "卷一的的的的的的的的", "-----。", "的的的的的的的的-"]
+    known = 0
+    for line in given:
+        m = R._PLAIN.match(line + "\n")
+        if m:
+            known += 1
+            rules_say = R.title_heading(line), R.heading_like(line), R.metadata_line(line), R._DIVIDER.match(line), R._MARKER.match(line)
+            assert R.collapse(line) == line and not any(rules_say) and not R._MARK.search(line), line
+            assert m[3] or not R.Paragraph(line).sentence_ended(), line
+    assert known > 5000
