@@ -140,3 +140,10 @@ def test_lines_known_as_plain_are_text_by_every_rule():
             assert R.collapse(line) == line and not any(rules_say) and not R._MARK.search(line), line
             assert m[3] or not R.Paragraph(line).sentence_ended(), line
     assert known > 5000
+
+
+def test_reflowed_texts_come_joined_from_the_kernel(spark):
+    rows = [(1, "第一章 始\n他的话还没有能够说完\n就完了。"), (2, "Plain latin text stays. " * 5), (3, None), (4, " ")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert "transform(" not in R.reflow(df.select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString().replace("transform(array(", "")
+    assert {r["doc_id"]: (r["n_segments"], r["text"]) for r in R.reflow(df).collect()} == {1: (2, "第一章 始\n\n他的话还没有能够说完就完了。"), 2: (1, rows[1][1]), 3: (None, None), 4: (1, " ")}
