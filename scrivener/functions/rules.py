@@ -69,9 +69,11 @@ def page_row(d, c, status, no, total, header):
 # guards
 def latin_block(d, c, limit=100):
     """Of the first `limit` visible characters: none CJK, 40 at least, nine tenths Latin or ASCII marks."""
-    head = f"left({d.sub(c, f'{_B}+')}, {limit})"
-    latin = _len(d, head, f"[^{k.LATINISH.replace(chr(39), chr(92) + 'x27')}{k.LATIN_LETTERS}]")
-    return f"(NOT {d.has(head, f'[{CJK}]')} AND length({head}) >= 40 AND {latin} * 10 >= length({head}) * 9)"
+    seen = c if d.name == "duckdb" else d.part(c, f"\\A(?:{_B}*+[^{WS}]){{0,{limit}}}", 0)  # no further than the limit
+    head = f"left({d.sub(seen, f'{_B}+')}, {limit})"
+    let = (lambda body: f"transform(array({head}), head -> {body('head')})[0]") if d.name == "spark" else lambda body: body(head)
+    latin = lambda h: _len(d, h, f"[^{k.LATINISH.replace(chr(39), chr(92) + 'x27')}{k.LATIN_LETTERS}]")
+    return let(lambda h: f"(NOT {d.has(h, f'[{CJK}]')} AND length({h}) >= 40 AND {latin(h)} * 10 >= length({h}) * 9)")
 
 
 # strings

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivener.functions import rules
-from scrivener.functions.dialect import SPARK
+from scrivener.functions.dialect import DUCK, SPARK
 from scrivener.operators import reflow as R
 from scrivener.plans.folding import segments_sql
 from scrivener.plans.queries import cjk_documents
@@ -147,3 +147,13 @@ def test_reflowed_texts_come_joined_from_the_kernel(spark):
     df = spark.createDataFrame(rows, "doc_id int, text string")
     assert "transform(" not in R.reflow(df.select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString().replace("transform(array(", "")
     assert {r["doc_id"]: (r["n_segments"], r["text"]) for r in R.reflow(df).collect()} == {1: (2, "第一章 始\n\n他的话还没有能够说完就完了。"), 2: (1, rows[1][1]), 3: (None, None), 4: (1, " ")}
+
+
+def test_guard_reads_no_further_than_its_limit(spark):
+    texts = ["a" * 39, "a" * 40, "字" + "a" * 60, " \n" * 500 + "a" * 100 + "字", "a　" * 99 + "字", "a　" * 100 + "字", "é!" * 50, "ж" * 11 + "a" * 89, "ж" * 10 + "a" * 90, "", "　" * 9, "😀" * 5 + "a" * 95 + "字"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select("i", F.expr(rules.latin_block(SPARK, "text")).alias("latin"))
+    c = duckdb.connect()
+    c.register("given", pa.table({"i": range(len(texts)), "text": texts}))
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(f"SELECT i, {rules.latin_block(DUCK, 'text')} FROM given").fetchall())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("{0,100}") == 1
