@@ -1,18 +1,25 @@
 """Text rules as SQL expressions over a column; d is a dialect, c the column's SQL. All stay native in Spark.
 
-Null text gives null. Every function is one rule; the comments give what isn't in its name.
+Null text gives null. Every function is one rule; the comments give what isn't in its name. For Spark most rules first ask
+something cheap that most lines fail, since a pattern costs it more than anything else; DuckDB gets the rule alone.
 """
 
 from __future__ import annotations
 
+import re
+
 from scrivener.functions import charsets as k
 from scrivener.functions.charsets import CJK, WS, inside
 
 _B = f"[{WS}]"
+#: The white space that WS stands for.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(_B, c))
+#: A few ranges with all white space, marks, ASCII and digits of the rules, but neither CJK nor other letters.
+_ODD = "[\\x00-\\xBF\\u1680\\u2000-\\u33FF\\uFE00-\\uFFFF]"
 
 
 def trim_end(d, c):
-    return d.sub(c, f"{_B}+\\z")
+    return f"trim(TRAILING {d.text(SPACES)} FROM {c})" if d.name == "spark" else d.sub(c, f"{_B}+\\z")
 
 
 #: A column of this name is trimmed already; rules that trim then use it as it is.
@@ -20,7 +27,9 @@ TRIMMED = "trimmed"
 
 
 def trim(d, c):
-    return c if c == TRIMMED else d.sub(c, f"\\A{_B}+|{_B}+\\z")
+    if c == TRIMMED:
+        return c
+    return f"trim(BOTH {d.text(SPACES)} FROM {c})" if d.name == "spark" else d.sub(c, f"\\A{_B}+|{_B}+\\z")
 
 
 def _last(d, c, n=1):
@@ -28,6 +37,11 @@ def _last(d, c, n=1):
     return f"right({d.sub(c, f'{_B}+')}, {n})"
 
 
+def _may_end(d, c, marks):
+    """Spark's first question: the last character that isn't white space is one of marks, or there is none."""
+    return f"instr({d.text(marks)}, right({trim_end(d, c)}, 1)) > 0"
+
+
 def _len(d, c, drop):
     return f"length({d.sub(c, drop)})"
 
@@ -132,7 +146,8 @@ def ends_clause(d, c):
 
 def last_two(d, c):
     """Null where there are fewer than two."""
-    return f"CASE WHEN {_len(d, c, f'{_B}+')} >= 2 THEN {_last(d, c, 2)} END"
+    rule = f"CASE WHEN {_len(d, c, f'{_B}+')} >= 2 THEN {_last(d, c, 2)} END"
+    return f"CASE WHEN length({c}) >= 2 AND NOT {d.has(f'right({c}, 2)', _B)} THEN right({c}, 2) ELSE {rule} END" if d.name == "spark" else rule
 
 
 def ends_postfix_closer(d, c):
@@ -164,8 +179,15 @@ def unclosed_bracket(d, c):
     op = f"translate(ch, {d.text(k.BRACKET_CLOSERS)}, {d.text(k.BRACKET_OPENERS)})"
     is_op = d.has("ch", f"[{inside(k.BRACKET_OPENERS)}]")
     body = f"CASE WHEN st = '!' OR ch = '' THEN st WHEN {is_op} THEN concat(st, ch) WHEN right(st, 1) = {op} THEN substr(st, 1, length(st) - 1) ELSE '!' END"
-    some = inside(k.BRACKET_OPENERS + k.BRACKET_CLOSERS)
-    return f"({d.has(c, f'[{some}]')} AND {d.fold(d.chars(d.sub(c, f'[^{some}]')), d.text(''), body)} <> '')"
+    return _left_open(d, c, inside(k.BRACKET_OPENERS + k.BRACKET_CLOSERS), body)
+
+
+def _left_open(d, c, some, body):
+    only = d.sub(c, f"[^{some}]")
+    left = f"{d.fold(d.chars(only), d.text(''), body)} <> ''"
+    if d.name == "duckdb":
+        return f"({d.has(c, f'[{some}]')} AND {left})"
+    return f"({d.has(c, _ODD)} AND {d.has(c, f'[{some}]')} AND (length({only}) % 2 = 1 OR {left}))"  # of an odd number one stays open
 
 
 def unclosed_quote(d, c):
@@ -174,8 +196,7 @@ def unclosed_quote(d, c):
     at = f"instr(st, {op})"
     is_op = d.has("ch", f"[{k.DIALOG_OPENERS}]")
     body = f"CASE WHEN st = '!' OR ch = '' THEN st WHEN {is_op} THEN concat(st, ch) WHEN {at} = 0 THEN '!' ELSE concat(substr(st, 1, {at} - 1), substr(st, {at} + 1)) END"
-    some = k.DIALOG_OPENERS + k.DIALOG_CLOSERS
-    return f"({d.has(c, f'[{some}]')} AND {d.fold(d.chars(d.sub(c, f'[^{some}]')), d.text(''), body)} <> '')"
+    return _left_open(d, c, k.DIALOG_OPENERS + k.DIALOG_CLOSERS, body)
 
 
 def dialog_open(d, c):
@@ -202,8 +223,9 @@ def sentence_boundary(d, c):
     strong = f"[{k.STRONG_END}]"
     closer = f"[{k.DIALOG_CLOSERS}{inside(k.POSTFIX_CLOSERS)}]"
     # the character right before the mark must be CJK; the closers after it may be any but the last is a quote or a parenthesis
-    return (
-        f"CASE WHEN {blank(d, c)} THEN false WHEN {d.has(last, strong)} THEN true WHEN {_len(d, c, f'{_B}+')} < 2 THEN false "
+    first = f"CASE WHEN NOT {_may_end(d, c, k.STRONG_END + '.…' + k.COLONS + k.DIALOG_CLOSERS + k.POSTFIX_CLOSERS)} THEN false " if d.name == "spark" else "CASE "
+    return first + (
+        f"WHEN {blank(d, c)} THEN false WHEN {d.has(last, strong)} THEN true WHEN {_len(d, c, f'{_B}+')} < 2 THEN false "
         f"WHEN {d.has(c, f'[{CJK}][.:]{_B}*\\z')} AND {mostly} THEN true "
         f"WHEN {d.has(c, f'{strong}{_B}*{closer}{_B}*\\z')} THEN true WHEN {d.has(c, f'[{CJK}]\\.{_B}*{closer}{_B}*\\z')} AND {mostly} THEN true "
         f"WHEN {ends_colon(d, c)} AND {mostly} THEN true ELSE {ends_ellipsis(d, c)} END"
@@ -235,6 +257,14 @@ def page_marker(d, c):
 def title_heading(d, c):
     t = trim(d, c)
     words = "|".join(k.HEADING_WORDS)
+    if d.name == "spark":
+        begins = f"[第卷章{''.join(sorted({w[0] for w in k.HEADING_WORDS}))}]"
+        # the first place that decides, and what follows it
+        place = f"(?s)\\A(?>.{{0,10}}?第.{{0,5}}?[{k.CHAPTER_MARKERS}](?=[{k.NOT_AFTER_MARKER}]|.{{0,20}}\\z))(?![{k.NOT_AFTER_MARKER}])"
+        return (
+            f"CASE WHEN NOT {d.has(c, begins)} THEN false WHEN length({t}) > 50 OR {d.has(t, f'[{k.NOT_IN_HEADING}]')} THEN false WHEN {d.has(t, f'\\A(?:{words})')} THEN true "
+            f"WHEN {d.has(t, f'\\A[卷章][{k.NUMERALS}]')} AND length({t}) <= 17 THEN true ELSE coalesce({d.has(t, place)}, false) END"
+        )
     places = d.array(", ".join(str(100 * i + j) for i in range(11) for j in range(i + 1, i + 7)))
     at = lambda n: f"substr({t}, cast({n} AS int), 1)"
     i, j = f"({d.div('k', '100')} + 1)", "(k % 100 + 1)"
@@ -253,19 +283,28 @@ def heading_like(d, c):
     t = trim(d, c)
     most = f"CASE WHEN {all_ascii(d, t)} OR {mixed_cjk_ascii(d, t)} THEN 16 ELSE 8 END"
     end = f"[{inside(k.CLAUSE_OR_END)}]"
-    return (
+    rule = (
         f"CASE WHEN {t} = '' OR {page_marker(d, t)} OR {unclosed_bracket(d, t)} OR {unclosed_quote(d, t)} THEN false WHEN {_wrapped(d, t)} THEN true "
         f"WHEN {ends_colon(d, t)} AND length({t}) < {most} AND {d.has(t, f'\\A[{CJK}]+[{k.COLONS}]\\z')} THEN true "
         f"WHEN {ends_postfix_closer(d, t)} AND NOT {any_comma(d, t)} THEN true WHEN {d.has(t, f'{end}\\z')} THEN false WHEN {any_comma(d, t)} THEN false "
         f"WHEN length({t}) <= {most} THEN CASE WHEN {d.has(t, end)} THEN false ELSE {d.has(t, f'\\A{_B}*(?:[0-9０-９]{_B}*)+\\z')} OR NOT {all_ascii(d, t)} OR {d.has(t, '[A-Za-z]')} END ELSE false END"
     )
+    if d.name == "duckdb":
+        return rule
+    marks = inside(k.BRACKET_OPENERS + k.BRACKET_CLOSERS + k.DIALOG_OPENERS + k.DIALOG_CLOSERS)
+    unmarked = (  # what is left of the rule without brackets and quotes
+        f"CASE WHEN length({t}) > 16 OR {t} = '' THEN false WHEN {d.has(t, f'[{inside(k.COMMAS + k.CLAUSE_OR_END + k.COLONS)}]')} THEN {d.has(t, f'\\A[{CJK}]{{1,6}}[{k.COLONS}]\\z')} OR (NOT {d.has(t, f'[{inside(k.COMMAS + k.CLAUSE_OR_END)}]')} AND {{rest}}) "
+        f"ELSE {{rest}} END"
+    ).replace("{rest}", f"((length({t}) <= 8 OR {all_ascii(d, t)} OR {mixed_cjk_ascii(d, t)}) AND NOT {page_marker(d, t)} AND ({d.has(t, f'\\A{_B}*(?:[0-9０-９]{_B}*)+\\z')} OR NOT {all_ascii(d, t)} OR {d.has(t, '[A-Za-z]')}))")
+    return f"CASE WHEN NOT {d.has(t, _ODD)} THEN length({t}) BETWEEN 1 AND 8 WHEN NOT {d.has(t, f'[{marks}]')} THEN {unmarked} ELSE {rule} END"
 
 
 def metadata_line(d, c):
     t = trim(d, c)
     shape = f"(?s)\\A([^{k.METADATA_SEPARATORS}]{{1,10}})[{k.METADATA_SEPARATORS}]{_B}*([^{WS}{k.DIALOG_OPENERS}]).*\\z"
     keys = ", ".join(f"'{x}'" for x in k.METADATA_KEYS)
-    return f"(length({t}) <= 30 AND {trim(d, d.part(t, shape))} IN ({keys}))"
+    rule = f"length({t}) <= 30 AND {trim(d, d.part(t, shape))} IN ({keys})"
+    return f"({d.has(c, f'[{k.METADATA_SEPARATORS}]')} AND {rule})" if d.name == "spark" else f"({rule})"
 
 
 # repeats within a line
@@ -286,7 +325,7 @@ def segment_collapse(d, c):
     if d.name == "duckdb":  # its patterns know no back-references
         return _collapse_by_lists(d, one)
     phrases = f"regexp_replace({one}, {d.lit('(?s)' + PHRASES)}, {d.lit('$1$2$3')})"
-    return f"array_join(transform(split({phrases}, ' '), t -> {token_collapse(d, 't')}), ' ')"
+    return f"CASE WHEN NOT {d.has(c, _B)} THEN {token_collapse(d, c)} ELSE array_join(transform(split({phrases}, ' '), t -> {token_collapse(d, 't')}), ' ') END"
 
 
 def _collapse_by_lists(d, one):
