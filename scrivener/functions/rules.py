@@ -18,6 +18,17 @@ SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(_B, c))
 _ODD = "[\\x00-\\xBF\\u1680\\u2000-\\u33FF\\uFE00-\\uFFFF]"
 
 
+def _ranges(chars):
+    """chars as the inside of a class of Java's, neighbours as one range: it asks each range by itself."""
+    out, codes = [], sorted(set(map(ord, chars)))
+    for n in codes:
+        if out and out[-1][1] == n - 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return "".join(f"\\u{a:04X}" if a == b else f"\\u{a:04X}-\\u{b:04X}" for a, b in out)
+
+
 def trim_end(d, c):
     return f"trim(TRAILING {d.text(SPACES)} FROM {c})" if d.name == "spark" else d.sub(c, f"{_B}+\\z")
 
@@ -179,10 +190,11 @@ def unclosed_bracket(d, c):
     op = f"translate(ch, {d.text(k.BRACKET_CLOSERS)}, {d.text(k.BRACKET_OPENERS)})"
     is_op = d.has("ch", f"[{inside(k.BRACKET_OPENERS)}]")
     body = f"CASE WHEN st = '!' OR ch = '' THEN st WHEN {is_op} THEN concat(st, ch) WHEN right(st, 1) = {op} THEN substr(st, 1, length(st) - 1) ELSE '!' END"
-    return _left_open(d, c, inside(k.BRACKET_OPENERS + k.BRACKET_CLOSERS), body)
+    return _left_open(d, c, k.BRACKET_OPENERS + k.BRACKET_CLOSERS, body)
 
 
-def _left_open(d, c, some, body):
+def _left_open(d, c, chars, body):
+    some = inside(chars) if d.name == "duckdb" else _ranges(chars)
     only = d.sub(c, f"[^{some}]")
     left = f"{d.fold(d.chars(only), d.text(''), body)} <> ''"
     if d.name == "duckdb":
@@ -291,10 +303,11 @@ def heading_like(d, c):
     )
     if d.name == "duckdb":
         return rule
-    marks = inside(k.BRACKET_OPENERS + k.BRACKET_CLOSERS + k.DIALOG_OPENERS + k.DIALOG_CLOSERS)
+    marks = _ranges(k.BRACKET_OPENERS + k.BRACKET_CLOSERS + k.DIALOG_OPENERS + k.DIALOG_CLOSERS)
+    stops = _ranges(k.COMMAS + k.CLAUSE_OR_END)
     unmarked = (  # what is left of the rule without brackets and quotes
-        f"CASE WHEN length({t}) > 16 OR {t} = '' THEN false WHEN {d.has(t, f'[{inside(k.COMMAS + k.CLAUSE_OR_END + k.COLONS)}]')} THEN {d.has(t, f'\\A[{CJK}]{{1,6}}[{k.COLONS}]\\z')} OR (NOT {d.has(t, f'[{inside(k.COMMAS + k.CLAUSE_OR_END)}]')} AND {{rest}}) "
-        f"ELSE {{rest}} END"
+        f"CASE WHEN length({t}) > 16 OR {t} = '' THEN false WHEN {d.has(t, f'[{stops}]')} THEN length({t}) < 8 AND {d.has(t, f'\\A[{CJK}]{{1,6}}[{k.COLONS}]\\z')} "
+        f"ELSE (length({t}) < 8 AND {d.has(t, f'\\A[{CJK}]{{1,6}}[{k.COLONS}]\\z')}) OR {{rest}} END"
     ).replace("{rest}", f"((length({t}) <= 8 OR {all_ascii(d, t)} OR {mixed_cjk_ascii(d, t)}) AND NOT {page_marker(d, t)} AND ({d.has(t, f'\\A{_B}*(?:[0-9０-９]{_B}*)+\\z')} OR NOT {all_ascii(d, t)} OR {d.has(t, '[A-Za-z]')}))")
     return f"CASE WHEN NOT {d.has(t, _ODD)} THEN length({t}) BETWEEN 1 AND 8 WHEN NOT {d.has(t, f'[{marks}]')} THEN {unmarked} ELSE {rule} END"
 
